@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, urls
+from . import bpe, langid, mixing, quality, secrets, simhash, telephony, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.store_texts(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -20,6 +28,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
@@ -30,7 +46,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_mix_sources, op6_bpe, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op2_telephony, op3_secrets, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
