@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets, simhash, telephony, urls
+from . import bpe, langid, mixing, quality, secrets, simhash, telephony, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.store_texts(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_telephony, op3_secrets, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
