@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -103,3 +104,15 @@ def shared_checkpoints(spark: SparkSession) -> None:
 def checkpoint(df: DataFrame) -> DataFrame:
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again; the files go when the session ends."""
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets, simhash, telephony, toxicity, urls
+from . import bpe, langid, mixing, passages, quality, secrets, simhash, telephony, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op4_passages, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
