@@ -190,9 +190,10 @@ def identify(docs: DataFrame, id_column: str = "doc_id", train: DataFrame | None
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """documents whose language is identified, with all their columns as they are; texts of no language (`und`) go."""
+    """documents whose language is identified, with all their columns; texts of no language (`und`) go, and a lang that
+    was null is the predicted one."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     named = plain.withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text", at["lang"]: "lang"})
     kept = identify(named, carry=tuple(named.columns)).where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*[F.col(c) for c in named.columns]).toDF(*docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*named.columns).toDF(*docs.columns)

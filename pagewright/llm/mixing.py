@@ -97,11 +97,16 @@ def shard_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     return counts.withColumn("first", F.coalesce(before, F.lit(0).cast("long")))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = EPOCHS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def row_mark(id_column: str, known_by: tuple[str, ...]) -> Column:
+    return F.xxhash64(*sorted({id_column, "text", "source", *known_by}))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = EPOCHS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, known_by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Mixes documents so that sources come near their targets: (pieces, takes).
 
     pieces: a row for each block that a row of docs has words in: id_column, source, size, source_size, target, k, bucket
-    and at (the row's key), the columns in keep, block, from and n (its words there; block null for a text without words).
+    and at (the row's key), mark (a hash of id, text, source and the columns known_by), block, from and n (its words there;
+    block null for a text without words).
     takes: a row for each (k, block, epoch) that the mix takes, with shard and slot, the first place it's taken to.
 
     The words of a source, in the order of its packed documents, are cut into blocks of `block` words. Output shards draw
@@ -112,10 +117,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights:
     rows and seed only, not on partitions.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = pick(docs, id_column, "text", "source", *[c for c in keep if c not in (id_column, "text", "source")])
-    sized = sized.withColumn("size", words).withColumn("mark", F.xxhash64("text", id_column))
-    sized = sized.select(id_column, "source", "size", "mark", *[c for c in keep if c not in (id_column, "source")])
-    sized = sized if keep else checkpoint(sized)  # small, and read twice
+    sized = pick(docs, *dict.fromkeys((id_column, "text", "source", *known_by)))
+    sized = sized.select(id_column, "source", words.alias("size"), row_mark(id_column, known_by).alias("mark"))
+    sized = checkpoint(sized)  # small, and read twice
     by_source = checkpoint(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     targets = source_targets(by_source.select("source", "source_size"), weights, total, most)
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block)).cast("long")
@@ -131,7 +135,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights:
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
     out = placed.withColumn("block", F.explode_outer(spans))
     low, high = F.greatest(F.col("block") * block, "start"), F.least(F.col("block") * block + block, F.col("start") + F.col("size"))
-    out = out.withColumn("from", low - F.col("start")).withColumn("n", F.coalesce(high - low, F.lit(0).cast("long"))).drop("mark", "start")
+    out = out.withColumn("from", low - F.col("start")).withColumn("n", F.coalesce(high - low, F.lit(0).cast("long"))).drop("start")
     out = out.join(small(targets.select("k", "source", "source_size", "target")), "k")
 
     counts = shard_counts(targets.select("k", "n_blocks", "slots"), shard_slots, seed).join(small(targets.select("k", "n_blocks")), "k")
@@ -150,3 +154,27 @@ def taken_words(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFr
     joined = pieces.join(times, ["k", "block"], "left")
     rows = joined.groupBy("k", "bucket", "at", id_column, "size", "source_size", "target").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
     return rows.select(id_column, "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: a row for each row of documents and epoch in which words of it are taken, with its columns.
+
+    text is the document's, or the words taken of it, joined by spaces, where an epoch takes a part only; n_chars is its
+    length. Texts without words are in no block and so in no mix. A word is in as many rows as it's taken times.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    to = {n: c for n, c in zip(names, docs.columns, strict=True) if c in ("doc_id", "text", "source", "n_chars")}
+    plain = docs.toDF(*names).withColumnsRenamed(to)
+    pieces, takes = mix(plain, "doc_id", known_by=tuple(plain.columns), **options)
+    took = pieces.join(takes.select("k", "block", "epoch"), ["k", "block"]).groupBy("k", "bucket", "at", "epoch", "doc_id", "mark", "size")
+    took = took.agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("taken")).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "size", "taken", "parts")
+    # Rows that are equal in all columns have one mark; each of their places in the mix needs one of them.
+    own = plain.withColumn("mark", row_mark("doc_id", tuple(plain.columns)))
+    first = own.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("doc_id"))).where("nth = 1")
+    joined = first.join(took, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["from"].cast("int") + 1, p["n"].cast("int")))), " ")
+    joined = joined.withColumn("text", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("text")))
+    if "n_chars" in plain.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast(dict(plain.dtypes)["n_chars"]))
+    return joined.select(*plain.columns).toDF(*docs.columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, langid, mixing, passages, quality, secrets, simhash, telephony, toxicity, urls
@@ -53,9 +54,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op4_passages, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op4_passages, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.SQL}
+    return {"op10_url_filter": urls.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
