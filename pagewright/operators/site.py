@@ -57,9 +57,9 @@ def stage_gaps(counts: DataFrame, least: int = 4) -> DataFrame:
     return rows.where((F.col("n") == 0) & (F.col("staged") >= least)).select("site", "stage", F.when(F.col("fullest.n") * 2 >= F.col("staged"), F.col("fullest.stage")).alias("concentrated_in"))
 
 
-def stage_concentration(counts: DataFrame, least: int = 4) -> DataFrame:
+def stage_concentration(counts: DataFrame, least: int = 4, share: float = STAGE_SHARE) -> DataFrame:
     top = counts.groupBy("site").agg(F.sum("n").alias("staged"), F.max(F.struct("n", (-F.col("at")).alias("at"), "stage")).alias("x"))
-    return top.where((F.col("staged") >= least) & (F.col("x.n") > STAGE_SHARE * F.col("staged"))).select("site", F.col("x.stage").alias("stage"))
+    return top.where((F.col("staged") >= least) & (F.col("x.n") > share * F.col("staged"))).select("site", F.col("x.stage").alias("stage"))
 
 
 def overlaps(pages: DataFrame, most: int = PAIRS) -> DataFrame:
@@ -89,7 +89,7 @@ def coverage(pages: DataFrame, bank: DataFrame) -> DataFrame:
     """site, question_id, status (answered, unanswered, absent) and pages (answering ones first) of applicable questions."""
     each = pages.withColumns({"raised": F.coalesce("raised", F.array().cast("array<string>")), "answered": F.coalesce("answered", F.array().cast("array<string>"))})
     fits = (F.size("business_types") == 0) | F.col("business_type").isNull() | F.array_contains("business_types", F.col("business_type"))
-    met = each.join(F.broadcast(bank), fits).select("site", "question_id", "bank_ord").distinct() if "bank_ord" in bank.columns else each.join(F.broadcast(bank), fits).select("site", "question_id").distinct()
+    met = each.join(F.broadcast(bank), fits).select("site", "question_id").distinct()
     said = each.select("site", "ord", "url", "answered", F.explode(F.array_union("raised", "answered")).alias("question_id")).withColumn("answers", F.array_contains("answered", F.col("question_id")))
     found = said.groupBy("site", "question_id").agg(F.max("answers").alias("any"), F.transform(F.array_sort(F.collect_list(F.struct((~F.col("answers")).alias("later"), "ord", "url"))), lambda x: x["url"]).alias("pages"))
     status = F.when(F.col("any"), "answered").when(F.col("any").isNotNull(), "unanswered").otherwise("absent")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import page_queries, text_queries  # noqa: F401 - they register their queries
+from . import page_queries, site_queries, text_queries  # noqa: F401 - they register their queries
 from .registry import QUERIES, SQL, Query
 
 
@@ -17,4 +17,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p39_haystack"](spark, sf_dir)
+    """Findings of all pages, in order."""
+    from pagewright.operators import audit
+
+    return audit.findings(spark.read.parquet(f"{sf_dir}/pages.parquet"))
