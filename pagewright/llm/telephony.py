@@ -131,11 +131,10 @@ def expand(files: list[tuple[int, int, memoryview]]) -> list[np.ndarray]:
 
 @cache
 def _phases(up: int, down: int, taps: int) -> np.ndarray:
-    """A low-pass filter of windowed sines, a row for each of `up` phases."""
+    """A low-pass filter of windowed sines: a row for each of `up` phases, to be convolved with `taps` samples on each side."""
     width = max(up, down)
-    x = (np.arange(2 * taps * up) - (taps * up - up)) / up
-    h = np.sinc(x * up / width) * np.cos(np.pi * x / (2 * taps + 2)) ** 2 * up / width
-    h = h.reshape(-1, up).T
+    x = np.arange(2 * taps)[None, :] - taps + np.arange(up)[:, None] / up
+    h = np.sinc(x * up / width) * np.cos(np.pi * x / (2 * taps + 2)) ** 2
     return (h / h.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -153,7 +152,7 @@ def resample(pcm: np.ndarray, rate: int, target: int = TARGET_RATE, taps: int =
         m = min(part, n - at)
         x = padded[at : at + m + 2 * taps - 1].astype(np.float32)
         for p in range(up):
-            out[at * up + p : (at + m) * up : up] = np.clip(np.rint(np.convolve(x, phases[p][::1], "valid")), -32768, 32767)
+            out[at * up + p : (at + m) * up : up] = np.clip(np.rint(np.convolve(x, phases[p], "valid")), -32768, 32767)
     return out[::down]
 
 
