@@ -6,6 +6,7 @@ confidence.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,6 @@ def summary(findings: DataFrame) -> DataFrame:
 
 def verified(quotes: DataFrame) -> DataFrame:
     """quotes (text, quote, ...) whose text has them, in Unicode's composed form and with like white space."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def composed(s: pd.Series) -> pd.Series:
