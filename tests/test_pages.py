@@ -1,6 +1,6 @@
 import pytest
 from pagewright import rules
-from pagewright.operators import audit, content, decide, extract, findings, intake, site
+from pagewright.operators import audit, content, decide, extract, findings, intake, report, site
 from pagewright.sources import sinks
 from pyspark.sql import functions as F
 
@@ -178,3 +178,18 @@ def test_reports(spark):
     pages = spark.createDataFrame([(1, "https://e.com/p", html)], "page_id long, url string, html string")
     report = sinks.markdown(sinks.finding_lines(audit.findings(pages)).withColumn("name", F.lit("e.com")), "name").first()["report"]
     assert report.startswith("# e.com\n1. [") and "No main heading" in report
+
+
+def test_config():
+    assert report.Config.from_strings({}) == report.Config()
+    got = report.Config.from_strings({"MAX_CALLS": "3", "confidence": "0.7", "min_words": ""})
+    assert (got.max_calls, got.confidence, got.min_words) == (3, 0.7, 12)
+    for bad in ("0", "-1", "x", "inf"):
+        with pytest.raises(ValueError):
+            report.Config.from_strings({"max_sections": bad})
+
+
+def test_request_bodies(spark):
+    rows = spark.createDataFrame([('{"url":"u","n":1}',), ('{"url":"v","n":"x"}',), ("junk",)], "body string")
+    got = [r["b"] for r in rows.select(report.parsed_body(F.col("body"), "url string, n int").alias("b")).collect()]
+    assert (got[0]["url"], got[0]["n"]) == ("u", 1) and (got[1]["n"]) is None and (got[2] is None or got[2]["url"] is None)
