@@ -151,7 +151,8 @@ def taken_words(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFr
     """A row for each row of docs: id_column, size, source_size, target, taken. Options as of mix()."""
     pieces, takes = mix(docs, id_column, **options)
     times = takes.groupBy("k", "block").agg(F.count("*").alias("times"))
-    joined = pieces.join(times, ["k", "block"], "left")
+    # The planner takes what comes of the few sources for small, and would send it to all tasks.
+    joined = pieces.join(times.hint("merge"), ["k", "block"], "left")
     rows = joined.groupBy("k", "bucket", "at", id_column, "size", "source_size", "target").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
     return rows.select(id_column, "size", "source_size", "target", "taken")
 
