@@ -92,7 +92,7 @@ def filled(template: Column, slots: Column) -> Column:
 def redacted(s: Column) -> Column:
     """Credentials in messages replaced by a marker."""
     s = F.regexp_replace(s, bounded(r"\bBearer\s+[A-Za-z0-9._\-]{16,}"), "Bearer [redacted]")
-    s = F.regexp_replace(s, bounded(r"\b(sk|key|tok|jev)[-_][A-Za-z0-9._\-]{16,}"), "[redacted]")
+    s = F.regexp_replace(s, bounded(r"\b(sk|key|tok)[-_][A-Za-z0-9._\-]{16,}"), "[redacted]")
     return F.regexp_replace(s, r"(?i)([?&](?:api[-_]?key|key|token)=)[^&\s]+", "$1[redacted]")
 
 

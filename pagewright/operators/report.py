@@ -22,7 +22,7 @@ FIXES = {
 }
 DIMENSIONS = ("business_type", "what_it_does", "who_its_for", "problem_solved", "differentiator")
 STATUS = {"invalid_url": 400, "not_html": 400, "blocked_url": 403, "robots_disallowed": 403, "too_large": 413, "fetch_failed": 502, "decision_backend_unavailable": 503, "decision_invalid_response": 500, "internal": 500}
-BACKENDS = ("systemone", "laya")
+BACKENDS = ("hosted", "own")
 MESSAGING = {"states_the_problem": "no_problem_stated", "names_the_audience": "audience_not_named", "states_differentiation": "no_differentiation"}
 
 

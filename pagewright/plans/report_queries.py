@@ -52,10 +52,10 @@ def p38_error_status(spark: S, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.error_status(F.element_at(codes, (F.col("page_id") % (len(P.STATUS) + 1) + 1).cast("int"))).alias("status"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._-]{20,400}$') THEN w END AS key, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._/-]{1,80}$') THEN w END AS model, CASE WHEN doc_id % 2 = 0 THEN 'laya' END AS backend FROM (SELECT doc_id, trim(split_part(text, ' ', 1)) || ' ' AS v, trim(split_part(text, ' ', 1)) AS w FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._-]{20,400}$') THEN w END AS key, CASE WHEN regexp_matches(w, '^[A-Za-z0-9._/-]{1,80}$') THEN w END AS model, CASE WHEN doc_id % 2 = 0 THEN 'own' END AS backend FROM (SELECT doc_id, trim(split_part(text, ' ', 1)) || ' ' AS v, trim(split_part(text, ' ', 1)) AS w FROM documents)")
 def p05_header_readers(spark: S, d: str) -> DataFrame:
     w = F.concat(F.substring_index("text", " ", 1), F.lit(" "))
-    return table(spark, d, "documents").select("doc_id", P.caller_key(w).alias("key"), P.caller_model(w).alias("model"), P.caller_backend(F.when(F.col("doc_id") % 2 == 0, " Laya ").otherwise("x")).alias("backend"))
+    return table(spark, d, "documents").select("doc_id", P.caller_key(w).alias("key"), P.caller_model(w).alias("model"), P.caller_backend(F.when(F.col("doc_id") % 2 == 0, " Own ").otherwise("x")).alias("backend"))
 
 
 @query("SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 25")

@@ -151,7 +151,7 @@ def p25_quote_verify(spark: S, d: str) -> DataFrame:
 SAID = "text || ' Authorization: Bearer abcdefghijklmnop' || doc_id || ' key-' || md5(doc_id::VARCHAR) || ' ?a=1&token=' || doc_id || '&b=2'"
 
 
-@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\bBearer\s+[A-Za-z0-9._\-]{{16,}}', 'Bearer [redacted]', 'g'), '(?i)\b(sk|key|tok|jev)[-_][A-Za-z0-9._\-]{{16,}}', '[redacted]', 'g'), '(?i)([?&](?:api[-_]?key|key|token)=)[^&\s]+', '\1[redacted]', 'g')) AS digest FROM (SELECT doc_id, {SAID} AS s FROM documents)""")
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\bBearer\s+[A-Za-z0-9._\-]{{16,}}', 'Bearer [redacted]', 'g'), '(?i)\b(sk|key|tok)[-_][A-Za-z0-9._\-]{{16,}}', '[redacted]', 'g'), '(?i)([?&](?:api[-_]?key|key|token)=)[^&\s]+', '\1[redacted]', 'g')) AS digest FROM (SELECT doc_id, {SAID} AS s FROM documents)""")
 def p06_redaction(spark: S, d: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
     said = F.concat("text", F.lit(" Authorization: Bearer abcdefghijklmnop"), i, F.lit(" key-"), F.md5(i.cast("binary")), F.lit(" ?a=1&token="), i, F.lit("&b=2"))
