@@ -167,12 +167,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     to = {n: c for n, c in zip(names, docs.columns, strict=True) if c in ("doc_id", "text", "source", "n_chars")}
     plain = docs.toDF(*names).withColumnsRenamed(to)
     pieces, takes = mix(plain, "doc_id", known_by=tuple(plain.columns), **options)
-    took = pieces.join(takes.select("k", "block", "epoch"), ["k", "block"]).groupBy("k", "bucket", "at", "epoch", "doc_id", "mark", "size")
+    took = pieces.join(takes.select("k", "block", "epoch").hint("merge"), ["k", "block"]).groupBy("k", "bucket", "at", "epoch", "doc_id", "mark", "size")
     took = took.agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("taken")).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "size", "taken", "parts")
     # Rows that are equal in all columns have one mark; each of their places in the mix needs one of them.
     own = plain.withColumn("mark", row_mark("doc_id", tuple(plain.columns)))
     first = own.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("doc_id"))).where("nth = 1")
-    joined = first.join(took, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    joined = first.join(took.hint("merge"), (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["from"].cast("int") + 1, p["n"].cast("int")))), " ")
     joined = joined.withColumn("text", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("text")))
