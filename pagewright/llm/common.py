@@ -95,10 +95,13 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where spark.checkpoint.dir says; only if it's unset (tests, one machine) to a folder here."""
+    """Checkpoints go where spark.checkpoint.dir says; only if it's unset, on one machine, to a folder here."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or "/tmp/checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
