@@ -6,7 +6,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, map_batches, pick, written
@@ -19,7 +19,7 @@ LINE, SHINGLE, SIMILAR, BANDS, ROWS = 16, 5, 0.8, 5, 2
 #: same pieces wherever it stands, also amid a line. Those with fewer than LEAST words are left out. Repeated pieces in a
 #: row are a passage from PASSAGE words on.
 REACH, LEAST, PASSAGE = 5, 6, 14
-#: Different lines of a band that are compared with each other at once.
+#: Different lines of a block, which are compared with each other at once.
 GROUP = 64
 
 KEYS = tuple(f"b{k}" for k in range(BANDS))
@@ -124,14 +124,52 @@ def unique_lines(lines: DataFrame) -> DataFrame:
     return lines.groupBy("content").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), F.count("*").alias("rows"), *[F.max(k).alias(k) for k in KEYS])
 
 
+def similar(p: str, q: str, least: float) -> Column:
+    n, m, common = F.size(p), F.size(q), F.size(F.array_intersect(p, q))
+    return F.when(F.least(n, m) >= least * F.greatest(n, m), common >= least * (n + m - common)).otherwise(False)
+
+
+def far_links(sets: DataFrame, links: DataFrame, least: float = SIMILAR, group: int = GROUP) -> DataFrame:
+    """Links a < b between similar contents of sets (content, grams) that `links` doesn't connect yet: all of them.
+
+    Two sets of a similarity of at least `least` share one of their n - ceil(least * n) + 1 rarest shingles, so that
+    contents meet at those. At a shingle they stand in blocks of `group` by component and size, and of two blocks all are
+    compared but where both are of one component or their sizes are too far apart.
+    """
+    own = sets.select("content")
+    known = components(links.join(own.withColumnRenamed("content", "a"), "a", "left_semi").join(own.withColumnRenamed("content", "b"), "b", "left_semi"))
+    n = F.size("grams")
+    grams = sets.select("content", n.alias("n"), F.explode("grams").alias("gram"))
+    held = grams.groupBy("gram").agg(F.count("*").alias("sets"))
+    rarest = F.row_number().over(Window.partitionBy("content").orderBy("sets", "gram"))
+    prefix = grams.join(held, "gram").withColumn("nth", rarest).where((F.col("nth") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1) & (F.col("sets") > 1))
+    labels = own.join(known, own["content"] == known["node"], "left").select("content", F.coalesce("component", "content").alias("part"))
+    at = written(prefix.select("gram", "content", "n").join(labels, "content"))
+    parted = at.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gram")
+    order = Window.partitionBy("gram").orderBy("part", "n", "content")
+    placed = written(at.join(parted, "gram").withColumn("block", F.floor((F.row_number().over(order) - 1) / group)))
+    blocks = placed.groupBy("gram", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("small"), F.max("n").alias("big"))
+    others = blocks.select(F.col("gram").alias("g2"), *[F.col(c).alias(f"{c}2") for c in ("block", "lo", "hi", "small", "big")])
+    differ = F.least("lo", "lo2") < F.greatest("hi", "hi2")
+    sizes = (F.col("big") >= least * F.col("small2")) & (F.col("big2") >= least * F.col("small"))
+    pairs = blocks.join(others, (F.col("gram") == F.col("g2")) & (F.col("block") <= F.col("block2")) & differ & sizes).select("gram", "block", "block2")
+    whole = placed.join(sets, "content")
+    left = whole.join(pairs, ["gram", "block"]).select("gram", "block", "block2", F.col("content").alias("x"), F.col("part").alias("part_x"), F.col("grams").alias("p"))
+    right = whole.select(F.col("gram").alias("g2"), F.col("block").alias("own2"), F.col("content").alias("y"), F.col("part").alias("part_y"), F.col("grams").alias("q"))
+    once = (F.col("block") != F.col("block2")) | (F.col("x") < F.col("y"))
+    met = left.join(right, (F.col("gram") == F.col("g2")) & (F.col("block2") == F.col("own2")) & (F.col("part_x") != F.col("part_y")) & once & similar("p", "q", least))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def line_links(lines: DataFrame, unique: DataFrame, least: float = SIMILAR, group: int = GROUP) -> DataFrame:
     """Links a < b between contents of lines that share a band and have a Jaccard similarity of at least `least`.
 
     lines: content and grams, a row for each occurrence; unique: unique_lines() of them. Equal lines are one content from the
     start. Of a band each content is compared with the others in its block and the one before, by the order of all its keys,
-    and with the band's most frequent content: a band of up to `group` contents is one block, so that all are compared; in a
-    larger one the pairs grow with its size, not with its square. Similarities are verified in the joins, so that only links
-    come out of them. Shingles are fetched for contents that share a band only.
+    and with the band's most frequent content: a band of up to `group` contents is one block, so that all are compared. What
+    that leaves apart in a larger band is compared by far_links(), so that components are those of all similar pairs.
+    Similarities are verified in the joins, so that only links come out of them. Shingles are fetched for contents that share
+    a band only.
     """
     banded = unique.select("content", F.explode(F.array(*KEYS)).alias("band")).repartition("band")
     shared = banded.groupBy("band").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("band")
@@ -141,19 +179,18 @@ def line_links(lines: DataFrame, unique: DataFrame, least: float = SIMILAR, grou
     sets = lines.join(met, "content", "left_semi").groupBy("content").agg(F.any_value("grams").alias("grams"))
     members = written(members.join(order_keys.join(sets, "content"), "content"))
 
-    def similar(p: str, q: str):
-        n, m, common = F.size(p), F.size(q), F.size(F.array_intersect(p, q))
-        return F.when(F.least(n, m) >= least * F.greatest(n, m), common >= least * (n + m - common)).otherwise(False)
-
     order = Window.partitionBy("band").orderBy("rest", "content")
     placed = members.select("band", "content", "grams", F.floor((F.row_number().over(order) - 1) / group).alias("own"))
     left = placed.select("band", F.col("content").alias("x"), F.col("grams").alias("p"), "own", F.explode(F.array("own", F.col("own") - 1)).alias("block"))
     right = placed.select(F.col("band").alias("b2"), F.col("own").alias("block2"), F.col("content").alias("y"), F.col("grams").alias("q"))
     once = (F.col("own") != F.col("block")) | (F.col("x") < F.col("y"))
-    near = left.join(right, (F.col("band") == F.col("b2")) & (F.col("block") == F.col("block2")) & once & similar("p", "q")).select("x", "y")
+    near = left.join(right, (F.col("band") == F.col("b2")) & (F.col("block") == F.col("block2")) & once & similar("p", "q", least)).select("x", "y")
     hubs = members.groupBy("band").agg(F.max_by(F.struct("content", "grams"), F.struct("rows", "content")).alias("hub")).select(F.col("band").alias("b2"), F.col("hub.content").alias("y"), F.col("hub.grams").alias("q"))
-    spokes = members.join(hubs, (F.col("band") == F.col("b2")) & (F.col("content") != F.col("y")) & similar("grams", "q")).select(F.col("content").alias("x"), "y")
-    return near.unionByName(spokes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    spokes = members.join(hubs, (F.col("band") == F.col("b2")) & (F.col("content") != F.col("y")) & similar("grams", "q", least)).select(F.col("content").alias("x"), "y")
+    first = written(near.unionByName(spokes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    large = members.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > group).select("band")
+    crowded = written(members.join(large, "band").groupBy("content").agg(F.any_value("grams").alias("grams")))
+    return first.unionByName(far_links(crowded, first, least, group))
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", least: float = SIMILAR, passage: int = PASSAGE) -> DataFrame:

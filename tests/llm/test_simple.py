@@ -350,6 +350,36 @@ def test_line_links_against_all_pairs(spark):
     assert got <= want and len(got) >= 0.98 * len(want) > 50
 
 
+def test_large_bands_against_all_pairs(spark):
+    rng = random.Random(5)
+    core = invented(rng, 40).split()
+    lines = []
+    for _ in range(400):  # pairs of near copies that share bands with the others and aren't similar to them
+        v = list(core)
+        for k in (rng.randint(8, 13), rng.randint(19, 24), rng.randint(30, 35)):
+            v[k] = invented(rng, 1)
+        lines += [" ".join(v), " ".join([*v[:2], invented(rng, 1), *v[3:]])]
+    rows = passages.unit_rows(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("line")
+    every = rows.collect()
+    assert max(np.unique([r[k] for r in every for k in passages.KEYS], return_counts=True)[1]) > 2 * passages.GROUP
+    sets = {r["content"]: set(r["grams"]) for r in every}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    shared = {c: {r[k] for k in passages.KEYS} for r in every for c in [r["content"]]}
+    got = {(r["a"], r["b"]) for r in passages.line_links(rows.select("content", "grams"), passages.unique_lines(rows)).collect()}
+
+    def parts(links):
+        part = {c: c for c in sets}
+        for _ in range(len(sets)):
+            before = dict(part)
+            for a, b in links:
+                part[a] = part[b] = min(part[a], part[b])
+            if part == before:
+                return part
+
+    assert got <= want and parts(got) == parts({(a, b) for a, b in want if shared[a] & shared[b]} | got)
+    assert 300 < len(set(parts(got).values())) < len(sets)
+
+
 # Toxicity ----------------------------------------------------------------------------------------------------------
 
 
