@@ -20,6 +20,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: A candidate has letters and digits; a sensitive word stands in so many characters before it.
 CANDIDATE, LETTER, DIGIT, BEFORE = re.compile(r"[A-Za-z0-9+/_=-]{16,}"), re.compile("[A-Za-z]"), re.compile("[0-9]"), 40
 SENSITIVE = re.compile(r"key|token|secret|passw|pwd|passphrase|credential|auth|bearer|private|signature|session|cookie|salt|nonce", re.ASCII | re.IGNORECASE)
+PART = re.compile("[+/_=-]+")
 #: Characters of surrounding text on each side that prime the compressor, and the marginal bytes a character from which a
 #: string is incompressible: random hex digits need 0.5, names made of known words far less.
 AROUND, NOVEL = 2048, 0.45
@@ -63,7 +64,11 @@ class Novelty:
         return len(self.zstd.compress(before + string.encode())) - len(self.zstd.compress(before))
 
     def spans(self, text: str, taken: list[Span], around: int = AROUND, novel: float = NOVEL) -> list[Span]:
-        """Incompressible candidates in sensitive context that don't overlap the spans in taken."""
+        """Incompressible candidates in sensitive context that don't overlap the spans in taken.
+
+        Other copies of a candidate, or of a part of it that could be one, aren't surroundings: a secret that is repeated
+        doesn't hide itself. Copies at the edges of the surroundings are taken away whole.
+        """
         found, busy, k = [], sorted((s, e) for s, _, e in taken), 0
         for m in CANDIDATE.finditer(text):
             string, start, end = m[0], m.start(), m.end()
@@ -76,7 +81,10 @@ class Novelty:
                 j += 1
             if j < len(busy) and busy[j][0] < end:
                 continue
-            if self.marginal(text[max(0, start - around) : start] + text[end : end + around], string) >= novel * len(string):
+            before, behind = text[max(0, start - around - len(string)) : start], text[end : end + around + len(string)]
+            for copy in (string, *(x for x in PART.split(string) if len(x) >= 16 and DIGIT.search(x) and LETTER.search(x))):
+                before, behind = before.replace(copy, ""), behind.replace(copy, "")
+            if self.marginal(before[max(0, len(before) - around) :] + behind[:around], string) >= novel * len(string):
                 found.append((start, 3, end))
         return found
 

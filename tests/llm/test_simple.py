@@ -310,6 +310,22 @@ def test_many_shards_and_buckets(spark, sf, monkeypatch):
     assert all(abs(r["taken"] - r["target"]) <= 0.1 * r["target"] + 128 for r in got)
 
 
+def test_repeated_secrets_do_not_hide_themselves(spark):
+    rng = random.Random(3)
+    novelty = secrets.Novelty()
+    for gap in (3, 2048, 2048 - 28, 2048 - 40):
+        key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
+        words = invented(rng, 1000)[: gap - 10]
+        text = f"the bearer {key}\n{words}\nthe bearer {key}\n"
+        assert [text[s:e] for s, _, e in novelty.spans(text, secrets.base_spans(text))] == [key] * 2
+        text = f"the bearer {key} and\nbearer auth={key}\nbearer auth={key}\n"
+        assert [text[s:e] for s, _, e in novelty.spans(text, secrets.base_spans(text))][0] == key
+        assert key not in secrets.redacted(text, novelty.spans(text, secrets.base_spans(text)) + secrets.base_spans(text))
+    line = f"the bearer {key} opens it\n"
+    rows = spark.createDataFrame([(1, line * 3)], "doc_id long, text string")
+    assert secrets.scan_secrets(rows).first()["n_novel"] == 3 and key not in secrets.redact(rows).first()["text"]
+
+
 # Passages ----------------------------------------------------------------------------------------------------------
 
 
