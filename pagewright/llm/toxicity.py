@@ -96,8 +96,7 @@ class Model:
         self.words = {t: s for t, s in tokens.items() if not t.endswith("*")}
 
     def token_scores(self, tokens: list[str]) -> np.ndarray:
-        """A word's own score, else its longest stem's, else REST. What counts for a text is that it has a token: after its
-        first place a positive one is neutral."""
+        """A word's own score, else its longest stem's, else REST."""
         scores: dict[str, float] = {}
         for t in set(tokens):
             s = self.words.get(t)
@@ -106,26 +105,35 @@ class Model:
                     break
             if s is not None:
                 scores[t] = s
-        out = np.full(len(tokens), REST, np.float32)
-        if scores:
-            for k, t in enumerate(tokens):
-                if (s := scores.get(t)) is not None:
-                    out[k] = s
-                    if s > 0:
-                        scores[t] = 0.0
-        return out
-
-    def passages(self, tokens: list[str]) -> list[tuple[int, int, float]]:
-        """Significant segments with their -ln E."""
-        if not tokens:
-            return []
-        found = ((s, e, self.rate * x - math.log(K * len(tokens))) for s, e, x in maximal_segments(self.token_scores(tokens)))
+        return np.fromiter((scores.get(t, REST) for t in tokens), np.float32, len(tokens)) if scores else np.full(len(tokens), REST, np.float32)
+
+    def significant(self, scores: np.ndarray, n: int) -> list[Segment]:
+        """Segments that are significant in a text of n words, with their -ln E."""
+        found = ((s, e, self.rate * x - math.log(K * n)) for s, e, x in maximal_segments(scores))
         return [(s, e, x) for s, e, x in found if x > -math.log(MOST_E)]
 
-    def score(self, found: list[tuple[int, int, float]]) -> float:
-        """Evidence of all significant passages, on the logistic curve."""
+    def passages(self, tokens: list[str]) -> tuple[list[Segment], float]:
+        """All significant segments with their -ln E, and their evidence together.
+
+        What counts as evidence is that the passages have a token: after its first place in them a positive one is neutral.
+        """
+        if not tokens:
+            return [], 0.0
+        scores = self.token_scores(tokens)
+        found = self.significant(scores, len(tokens))
+        seen, total = set(), 0.0
+        for s, e, _ in found:
+            part = scores[s:e].copy()
+            for k in np.flatnonzero(part > 0).tolist():
+                if tokens[s + k] in seen:
+                    part[k] = 0.0
+                seen.add(tokens[s + k])
+            total += sum(x for _, _, x in self.significant(part, len(tokens)))
+        return found, min(total, MOST_EVIDENCE)
+
+    def score(self, x: float) -> float:
+        """Evidence x on the logistic curve."""
         a, b = self.curve
-        x = min(sum(x for _, _, x in found), MOST_EVIDENCE)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * x))))
 
 
@@ -160,19 +168,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int
 
     def count():
         def each(batch: pa.RecordBatch) -> dict:
-            n = {0: Counter(), 1: Counter()}
+            n, uses = {0: Counter(), 1: Counter()}, Counter()
             for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = words(text)
                 n[y].update(set(own))
                 n[y].update({t[:k] + "*" for t in set(own) for k in STEMS if len(t) > k})
                 n[y].update({"": len(own)})
+                if y == 0:
+                    uses.update(own)
             tokens = list(n[0].keys() | n[1].keys())
-            return {"token": tokens, "clean": [n[0][t] for t in tokens], "toxic": [n[1][t] for t in tokens]}
+            return {"token": tokens, "clean": [n[0][t] for t in tokens], "toxic": [n[1][t] for t in tokens], "uses": [uses[t] for t in tokens]}
 
         return each
 
-    # Documents that have a token: a word that one text repeats says no more than once.
-    seen = map_batches(sample, count, "token string, clean long, toxic long", "text", most=8 << 20).groupBy("token").agg(F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"))
+    # Documents that have a token: a word that one text repeats says no more than once. uses: a word's places in clean ones.
+    seen = map_batches(sample, count, "token string, clean long, toxic long, uses long", "text", most=8 << 20).groupBy("token").agg(F.sum("clean").cast("double").alias("clean"), F.sum("toxic").cast("double").alias("toxic"), F.sum("uses").cast("double").alias("uses"))
     seen = seen.where("token = '' or clean + toxic >= 3")
     all_words = seen.where("token = ''").first()
     if all_words is None or not counts.get(1) or not counts.get(0):
@@ -190,14 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int
         if abs(z) >= SIGNIFICANT:
             tokens[r["token"]] = odds
             if not r["token"].endswith("*"):
-                weights[round(odds, 2)] += r["clean"] + FLAT
+                weights[round(odds, 2)] += r["uses"] + FLAT
     weights[REST] += max(0.0, all_words["clean"] - sum(weights.values()))
     model = Model(tokens, decay(weights))
 
     def evidence():
         def each(batch: pa.RecordBatch) -> dict:
             found = [model.passages(words(t)) for t in batch.column("text").to_pylist()]
-            return {"y": batch.column("y"), "x": [min(sum(x for _, _, x in f), MOST_EVIDENCE) for f in found]}
+            return {"y": batch.column("y"), "x": [x for _, x in found]}
 
         return each
 
@@ -214,7 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     Tokens (words in lower case, and stems of long words) score their log-odds between toxic and clean labelled documents
     with a Dirichlet prior; a linear-time scan finds all maximal-scoring segments of a text. Those whose expected number by
     chance, by Karlin-Altschul statistics over clean documents, is below 0.5 are its passages (first and last word:
-    -ln E). Their evidence together gives the score by a logistic curve fitted on the sample.
+    -ln E). Their evidence together, each token counted once, gives the score by a logistic curve fitted on the sample.
 
     Null or empty text, or one without known toxic words: no passages, the curve's lowest score. No labels to learn from:
     the share of toxic ones for all. Rows with several labels count as toxic if one is. Repeated rows are scored each.
@@ -227,9 +237,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
         def each(batch: pa.RecordBatch) -> dict:
             found = [model.passages(words(t)) for t in batch.column("text").to_pylist()]
-            scores = [model.score(f) for f in found]
-            told = [",".join(f"{s}-{e - 1}:{x:.1f}" for s, e, x in f) for f in found]
-            return {"doc_id": batch.column(id_column), "held_out": batch.column("_held_out"), "score": scores, "predicted": [int(s >= PREDICTED) for s in scores], "n_passages": [len(f) for f in found], "passages": told}
+            scores = [model.score(x) for _, x in found]
+            told = [",".join(f"{s}-{e - 1}:{x:.1f}" for s, e, x in f) for f, _ in found]
+            return {"doc_id": batch.column(id_column), "held_out": batch.column("_held_out"), "score": scores, "predicted": [int(s >= PREDICTED) for s in scores], "n_passages": [len(f) for f, _ in found], "passages": told}
 
         return each
 

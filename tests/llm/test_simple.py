@@ -434,6 +434,21 @@ def test_toxicity_without_labels(spark):
     assert len({r["score"] for r in got}) == 1 and {r["predicted"] for r in got} == {0}
 
 
+def test_passages_of_words_seen_before():
+    bad = [f"bad{k}" for k in range(6)]
+    model = toxicity.Model({w: 2.5 for w in bad}, 1.0)
+    scattered = [x for w in bad for x in [*["plain"] * 100, w]]
+    tokens = [*scattered, *["plain"] * 100, *bad, *["plain"] * 100, *bad]
+    spread, none = model.passages(scattered)
+    assert spread == [] and none == 0
+    at = len(scattered) + 100
+    found, evidence = model.passages(tokens)
+    assert [(s, e) for s, e, _ in found] == [(at, at + 6), (at + 106, at + 112)] and found[0][2] == found[1][2]
+    assert evidence == pytest.approx(found[0][2]) and model.score(evidence) > model.score(none)
+    repeated, nothing = model.passages(["bad1"] * 500)
+    assert len(repeated) == 1 and nothing == 0
+
+
 # URLs --------------------------------------------------------------------------------------------------------------
 
 
