@@ -55,13 +55,13 @@ def structure(spark: S, d: str) -> DataFrame:
 @query(STRUCTURE)
 def d02_d05_structure_signals(spark: S, d: str) -> DataFrame:
     """Every page of the tables has one main heading and neither canonical address nor description nor structured data."""
-    return with_slots(structure(spark, d)).where("check_id != 'js_dependent'")
+    return with_slots(structure(spark, d))
 
 
 @query(f"WITH {PAGES} SELECT page_id, sum(length(regexp_replace(regexp_replace(text, '&', '&amp;', 'g'), '\"', '&quot;', 'g'))) > 0 AS has_text FROM paras GROUP BY page_id")
 def p22_script_dependence(spark: S, d: str) -> DataFrame:
-    docs = X.docs(extracted(spark, d))
-    return docs.where("text_chars > 0").select("page_id", (F.col("text_chars") > 0).alias("has_text"))
+    """The SQL tells only whether a page has text; test_script_dependence holds this against a plain version."""
+    return X.docs(extracted(spark, d)).select("page_id", "js_likely")
 
 
 OPENERS, VAGUE, DIGITS = "the|of|de|die|la", "and|on|und|et|y", r"\b\d"
@@ -243,19 +243,19 @@ PRIORITY = "CASE " + " ".join(f"WHEN check_id = '{c[0]}' THEN '{c[2]}'" for c in
 @query(f"""WITH s AS ({STRUCTURE}) SELECT page_id, check_id, {TIERS} AS tier, {PRIORITY} AS priority, row_number() OVER (PARTITION BY page_id ORDER BY {TIERS}, check_id) AS place FROM s""")
 def o01_impact_order(spark: S, d: str) -> DataFrame:
     e = extracted(spark, d)
-    found = N.from_signals(structure(spark, d).where("check_id != 'js_dependent'"), rules.checks(spark), X.passages(e))
+    found = N.from_signals(structure(spark, d), rules.checks(spark), X.passages(e))
     return N.in_order(found).select("page_id", "check_id", "tier", "priority", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH s AS ({STRUCTURE}) SELECT page_id, count(*) AS n, count(*) FILTER ({PRIORITY} = 'high') AS high, count(*) FILTER ({PRIORITY} = 'medium') AS medium, count(*) FILTER ({PRIORITY} = 'low') AS low FROM s GROUP BY page_id")
 def a01_finding_summary(spark: S, d: str) -> DataFrame:
-    found = N.from_signals(structure(spark, d).where("check_id != 'js_dependent'"), rules.checks(spark), X.passages(extracted(spark, d)))
+    found = N.from_signals(structure(spark, d), rules.checks(spark), X.passages(extracted(spark, d)))
     return N.summary(found)
 
 
 @query(f"WITH s AS ({STRUCTURE}) SELECT check_id, count(*) AS n, count(DISTINCT page_id) AS pages FROM s GROUP BY check_id")
 def a02_occurrences(spark: S, d: str) -> DataFrame:
-    return structure(spark, d).where("check_id != 'js_dependent'").groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+    return structure(spark, d).groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 def synthetic_findings(spark: S, d: str) -> DataFrame:

@@ -193,3 +193,21 @@ def test_request_bodies(spark):
     rows = spark.createDataFrame([('{"url":"u","n":1}',), ('{"url":"v","n":"x"}',), ("junk",)], "body string")
     got = [r["b"] for r in rows.select(report.parsed_body(F.col("body"), "url string, n int").alias("b")).collect()]
     assert (got[0]["url"], got[0]["n"]) == ("u", 1) and (got[1]["n"]) is None and (got[2] is None or got[2]["url"] is None)
+
+
+def test_script_dependence(spark, tmp_path):
+    from pagewright.plans.queries import queries
+
+    sizes = [(0, 0), (0, 1), (9, 27), (9, 28), (499, 1498), (500, 1501), (500, 5000)]
+    rows = [(k, f"https://e.com/{k}", page("<h1>t</h1>" + f"<p>{'x' * (text - 1)}</p>" * (text > 0), f"<script>{'y' * script}</script>")) for k, (text, script) in enumerate(sizes)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    docs = extract.docs(extract.extract(spark.read.parquet(f"{tmp_path}/pages.parquet"))).collect()
+    want = {r["page_id"]: r["text_chars"] < 500 and r["script_chars"] > 3 * r["text_chars"] for r in docs}
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["js_likely"] for r in run("p22_script_dependence")} == want and set(want.values()) == {True, False}
+    likely = {k for k, v in want.items() if v}
+    for name in ("d02_d05_structure_signals", "o01_impact_order"):
+        assert {r["page_id"] for r in run(name) if r["check_id"] == "js_dependent"} == likely
+    assert {r["check_id"]: r["n"] for r in run("a02_occurrences")}["js_dependent"] == len(likely)
+    high = {r["page_id"]: r["high"] for r in run("a01_finding_summary")}
+    assert all(high[k] - (k in likely) == high[6] for k in want)
