@@ -211,3 +211,13 @@ def test_script_dependence(spark, tmp_path):
     assert {r["check_id"]: r["n"] for r in run("a02_occurrences")}["js_dependent"] == len(likely)
     high = {r["page_id"]: r["high"] for r in run("a01_finding_summary")}
     assert all(high[k] - (k in likely) == high[6] for k in want)
+
+
+def test_coverage_order_is_whole(spark, sf):
+    from pagewright.plans.queries import queries
+
+    order = ["unanswered", "absent", "answered"]
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
+    want = sorted(((i, ["answered", "unanswered", "absent"][i % 3]) for i in ids), key=lambda r: (order.index(r[1]), r[0]))
+    got = sorted((r["place"], r["question_id"], r["status"]) for r in queries()["o08_coverage_order"](spark, sf).collect())
+    assert got == [(k, *r) for k, r in enumerate(want, 1)]
