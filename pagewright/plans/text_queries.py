@@ -167,8 +167,9 @@ def p32_visible_terms(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT page_id, passage_ord, regexp_replace(text, '(?i)\\b(thend|with|the)\\b', '<mark>\\1</mark>', 'g') AS marked FROM lines WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]|-')")
 def p33_highlights(spark: S, d: str) -> DataFrame:
-    marked = F.regexp_replace("text", r"(?i)(?<![\p{L}0-9_-])(thend|with|the)(?![\p{L}0-9_-])", "<mark>$1</mark>")
-    return lines(spark, d).where(~F.col("text").rlike(r"[^\x00-\x7f]|-")).select("page_id", "passage_ord", marked.alias("marked"))
+    """Terms without a letter or hyphen next to them, in all lines; the SQL tells ASCII lines without hyphens only."""
+    marked = F.regexp_replace("text", r"(?i)(?<![\p{L}-])(thend|with|the)(?![\p{L}-])", "<mark>$1</mark>")
+    return lines(spark, d).select("page_id", "passage_ord", marked.alias("marked"))
 
 
 @query(f"WITH {PAGES} SELECT a.page_id, md5(lower(concat_ws(' ', title, '', h.text, p.text))) AS digest FROM arts a JOIN heads h USING (page_id) LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY passage_ord) AS text FROM paras GROUP BY page_id) p USING (page_id)")

@@ -221,3 +221,13 @@ def test_coverage_order_is_whole(spark, sf):
     want = sorted(((i, ["answered", "unanswered", "absent"][i % 3]) for i in ids), key=lambda r: (order.index(r[1]), r[0]))
     got = sorted((r["place"], r["question_id"], r["status"]) for r in queries()["o08_coverage_order"](spark, sf).collect())
     assert got == [(k, *r) for k, r in enumerate(want, 1)]
+
+
+def test_highlights_of_all_lines(spark, tmp_path):
+    from pagewright.plans.queries import queries
+
+    texts = ["the café with théâtre", "the-end with-in the", "éthe theé the9 THE, (with)", "bathe then thend"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'fr' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["page_id"]: r["marked"] for r in queries()["p33_highlights"](spark, str(tmp_path)).collect()}
+    m = "<mark>{}</mark>".format
+    assert got == {0: f"{m('the')} café {m('with')} théâtre", 1: f"the-end with-in {m('the')}", 2: f"éthe theé {m('the')}9 {m('THE')}, ({m('with')})", 3: f"bathe then {m('thend')}"}
