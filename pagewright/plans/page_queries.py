@@ -186,9 +186,9 @@ def j01_j02_eligible(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {LINES}, x AS (SELECT page_id, unnest({TOKENS.format('text').replace('[', '[', 1)}) AS w FROM lines WHERE passage_ord = 0) SELECT page_id, array_to_string(list(term ORDER BY n DESC, term)[:8], ',') AS terms FROM (SELECT page_id, regexp_replace(w, '(ing|ed|es|s)$', '') AS term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{N}}''-]{{2,}}')) AS w FROM lines WHERE passage_ord < 3) GROUP BY ALL) WHERE length(term) >= 3 AND NOT list_contains({list(rules.TOPIC_STOP)}, term) GROUP BY page_id")
 def a10_topic_terms(spark: S, d: str) -> DataFrame:
-    rows = lines(spark, d).where("passage_ord < 3")
-    docs = rows.select("page_id").distinct().withColumn("title", F.lit(None).cast("string"))
-    return C.topic_terms(docs, rows).select("page_id", F.array_join("terms", ",").alias("terms"))
+    """Of title and all headings of pages; the SQL tells the terms of the first three lines of documents."""
+    e = extracted(spark, d)
+    return C.topic_terms(X.docs(e), X.headings(e)).select("page_id", F.array_join("terms", ",").alias("terms"))
 
 
 @query(f"WITH {LINES} SELECT page_id, passage_ord FROM lines WHERE length(text) > 40 AND regexp_matches(text, '(?i)\\b(?:{rules.CLAIM_HINTS}|of)\\b') QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY passage_ord) <= 3")

@@ -231,3 +231,14 @@ def test_highlights_of_all_lines(spark, tmp_path):
     got = {r["page_id"]: r["marked"] for r in queries()["p33_highlights"](spark, str(tmp_path)).collect()}
     m = "<mark>{}</mark>".format
     assert got == {0: f"{m('the')} café {m('with')} théâtre", 1: f"the-end with-in {m('the')}", 2: f"éthe theé {m('the')}9 {m('THE')}, ({m('with')})", 3: f"bathe then {m('thend')}"}
+
+
+def test_topic_terms_of_titles_and_headings(spark, tmp_path):
+    from pagewright.plans.queries import queries
+
+    heads = "".join(f"<h2>Gardens word{k} été{k}-x</h2>" for k in range(5)) + "<h2>zebra</h2>" * 7
+    rows = [(1, "https://e.com/1", page(f"<h1>Gardening</h1>{heads}", title="Zebras watering"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(2, "other words", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    (got,) = queries()["a10_topic_terms"](spark, str(tmp_path)).collect()
+    assert (got["page_id"], got["terms"].split(",")) == (1, ["zebra", "garden", "water", "word0", "word1", "word2", "word3", "word4"])
