@@ -69,18 +69,18 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str, most: int = 4 << 20) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str | None, most: int = 4 << 20) -> DataFrame:
     """Applies make()'s result to bounded batches of df.
 
     make runs once a task; what it returns turns a batch into lists by column of schema. Memory of a worker is bounded by
-    the batch, not by the partition.
+    the batch, not by the partition. column is the one whose bytes bound a batch; None: batches as Spark deals them.
     """
     on_workers(df.sparkSession)
     kinds = {f.name: f for f in _arrow(df.sparkSession, schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in pieces(batches, column, most):
+        for batch in pieces(batches, column, most) if column else batches:
             got = each(batch)
             yield pa.RecordBatch.from_arrays([got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], f.type) for n, f in kinds.items()], names=list(kinds))
 

@@ -333,10 +333,13 @@ def invented(rng, n):
     return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9))) for _ in range(n))
 
 
+def words_of(rows):
+    return {i: (t or "").lower().split() for i, t in rows}
+
+
 def test_passages_are_found_wherever_they_stand(spark):
     rng = random.Random(11)
     shared, para = invented(rng, 60), invented(rng, 40).split()
-    near = para[:20] + ["changed"] + para[21:]
     near = para[:-1] + ["changed"]
     rows = [(k, f"{invented(rng, 20 + k)} {shared} {invented(rng, 30)}") for k in range(1, 5)] + [(k, invented(rng, 150)) for k in range(5, 15)]
     rows += [(20, invented(rng, 9) + "\n" + " ".join(para)), (21, invented(rng, 30) + "\n" + " ".join(near).upper() + "\n")]
@@ -344,56 +347,154 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 20, 21}
     assert {(r["doc_id"], r["removed"]) for r in got if r["kind"] == "line"} == {(20, False), (21, True)}
     for r in got:
-        if r["kind"] == "piece" and r["doc_id"] < 5:
-            words = rows[r["doc_id"] - 1][1].split()[r["start"] : r["start"] + r["n"]]
-            assert " ".join(words) in shared and r["n"] >= 14 and r["cluster_doc"] == 1 and r["removed"] == (r["doc_id"] != 1)
+        if r["kind"] == "run":
+            found = " ".join(words_of(rows)[r["doc_id"]][r["start"] : r["start"] + r["n"]])
+            assert found in shared and r["n"] >= 34 and r["cluster_doc"] == 1 and r["removed"] == (r["doc_id"] != 1)
+
+
+def plain_windows(words, window, among):
+    """Starts of a text's windows, the slow way."""
+    from xxhash import xxh64_intdigest
+
+    hashes = [xxh64_intdigest(w.encode()) for w in words]
+    found = {min(range(k, k + among), key=lambda j: (hashes[j], j)) for k in range(len(words) - among + 1)}
+    return sorted(k for k in found if k + window <= len(words))
+
+
+def plain_runs(rows, window, among, gone=frozenset()):
+    """(doc, start, n, keeper) of all runs; gone: (doc, word) of removed lines."""
+    texts, holders = words_of(rows), {}
+    for i, words in texts.items():
+        for k in plain_windows(words, window, among):
+            if not any((i, j) in gone for j in range(k, k + window)):
+                holders.setdefault(tuple(words[k : k + window]), set()).add((i, k))
+    placed = {}
+    for at in holders.values():
+        keeper = min(at)[0]
+        if max(at)[0] != keeper:
+            for i, k in at:
+                placed.setdefault((i, keeper), []).append(k)
+    out = []
+    for (i, keeper), starts in placed.items():
+        first = last = None
+        for k in [*sorted(starts), None]:
+            if first is None or k is None or k >= last + window:
+                out += [(i, first, last + window - first, keeper)] if first is not None else []
+                first = k
+            last = k
+    return sorted(out)
+
+
+def test_runs_against_brute_force(spark):
+    for seed in range(2):
+        rng = random.Random(seed)
+        parts = [[f"w{rng.randrange(400)}" for _ in range(rng.randint(4, 30))] for _ in range(14)] + [["same"] * 25, ["a", "b"] * 20]
+        rows = [(i, " ".join(w for _ in range(rng.randint(0, 6)) for w in rng.choice(parts) + [f"x{rng.randrange(10**6)}"] * rng.randint(0, 2))) for i in range(60)] + [(99, None), (None, "w")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        got = sorted((r["doc_id"], r["start"], r["n"], r["cluster_doc"]) for r in passages.repeated_passages(df, line=10**6, window=8, among=4).collect())
+        assert got == plain_runs([r for r in rows if r[0] is not None], 8, 4)
+        assert len(got) > 100
+
+
+def test_runs_of_the_promised_length_are_found():
+    for seed in range(60):
+        rng = random.Random(seed)
+        run = invented(rng, 50)
+        a, b = (f"{invented(rng, rng.randint(0, 25))} {run} {invented(rng, rng.randint(0, 25))}" for _ in range(2))
+        u = passages.units([a, b])
+        first, second = (set(zip(u["content"][u["text"] == k], u["check"][u["text"] == k], strict=True)) for k in (0, 1))
+        assert first & second
+
+
+def test_no_last_copy_is_removed(spark):
+    rng = random.Random(4)
+    a, b, c, d = (invented(rng, 60) for _ in range(4))
+    rows = [(0, f"{d} {b}"), (1, f"{a} {b}"), (3, f"{a} {c}")]
+    got = sorted((r["doc_id"], r["cluster_doc"], r["removed"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), line=10**6).collect())
+    assert got == [(0, 0, False), (1, 0, True), (1, 1, False), (3, 1, True)]
+
+    # Lines and runs together: passages that stand in lines which similar lines have removed.
+    for seed in range(2):
+        rng = random.Random(seed)
+        parts = [invented(rng, rng.randint(10, 30)).split() for _ in range(10)]
+        rows = []
+        for i in range(40):
+            lines = []
+            for _ in range(rng.randint(1, 5)):
+                words = [w for _ in range(rng.randint(1, 4)) for w in rng.choice(parts)]
+                if rng.random() < 0.5:
+                    words[rng.randrange(len(words))] = invented(rng, 1)
+                lines.append(" ".join(words))
+            rows.append((i, "\n".join(lines)))
+        texts = words_of(rows)
+        got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), window=12, among=5).collect()
+        lines = {(r["doc_id"], j) for r in got if r["removed"] and r["kind"] == "line" for j in range(r["start"], r["start"] + r["n"])}
+        assert sorted((r["doc_id"], r["start"], r["n"], r["cluster_doc"]) for r in got if r["kind"] == "run") == plain_runs(rows, 12, 5, lines)
+        runs = {(r["doc_id"], j) for r in got if r["removed"] and r["kind"] == "run" for j in range(r["start"], r["start"] + r["n"])}
+        assert lines and runs and not lines & runs
+        left = [" ".join(w for j, w in enumerate(texts[i]) if (i, j) not in lines | runs) for i, _ in rows]
+        for r in got:
+            if r["removed"] and r["kind"] == "run":  # word by word, each stands somewhere yet
+                assert all(any(w in x for x in left) for w in texts[r["doc_id"]][r["start"] : r["start"] + r["n"]])
+
+
+def line_sets(spark, lines):
+    rows = passages.unit_rows(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("line")
+    every = rows.collect()
+    sets = {r["content"]: set(r["grams"]) for r in every}
+    banded = {r["content"]: {r[k] for k in passages.KEYS} for r in every}
+    pairs = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    return rows, sets, banded, pairs
 
 
-def test_line_links_against_all_pairs(spark):
+def test_band_keys_find_similar_lines(spark):
     rng = random.Random(2)
-    base = [invented(rng, 30).split() for _ in range(12)]
     lines = []
-    for b in base:
-        for _ in range(6):
+    for b in [invented(rng, 30).split() for _ in range(60)]:
+        for _ in range(4):
             v = list(b)
             v[rng.choice([0, 29])] = invented(rng, 1)
             lines.append(" ".join(v))
-    rows = passages.unit_rows(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("line")
-    every = rows.collect()
-    sets = {r["content"]: set(r["grams"]) for r in every}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    got = {(r["a"], r["b"]) for r in passages.line_links(rows.select("content", "grams"), passages.unique_lines(rows)).collect()}
-    assert got <= want and len(got) >= 0.98 * len(want) > 50
+    _, _, banded, pairs = line_sets(spark, lines)
+    assert sum(bool(banded[a] & banded[b]) for a, b in pairs) >= 0.98 * len(pairs) > 100
 
 
-def test_large_bands_against_all_pairs(spark):
+@pytest.mark.parametrize("group", [3, 64])
+def test_clusters_against_all_pairs(spark, group):
+    """Bands of hundreds of different lines, most of them not similar to each other; whatever the size of the blocks."""
     rng = random.Random(5)
-    core = invented(rng, 40).split()
-    lines = []
-    for _ in range(400):  # pairs of near copies that share bands with the others and aren't similar to them
+    core, lines = invented(rng, 40).split(), []
+    for _ in range(400):
         v = list(core)
         for k in (rng.randint(8, 13), rng.randint(19, 24), rng.randint(30, 35)):
             v[k] = invented(rng, 1)
         lines += [" ".join(v), " ".join([*v[:2], invented(rng, 1), *v[3:]])]
-    rows = passages.unit_rows(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("line")
-    every = rows.collect()
-    assert max(np.unique([r[k] for r in every for k in passages.KEYS], return_counts=True)[1]) > 2 * passages.GROUP
-    sets = {r["content"]: set(r["grams"]) for r in every}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    shared = {c: {r[k] for k in passages.KEYS} for r in every for c in [r["content"]]}
-    got = {(r["a"], r["b"]) for r in passages.line_links(rows.select("content", "grams"), passages.unique_lines(rows)).collect()}
-
-    def parts(links):
-        part = {c: c for c in sets}
-        for _ in range(len(sets)):
-            before = dict(part)
-            for a, b in links:
-                part[a] = part[b] = min(part[a], part[b])
-            if part == before:
-                return part
-
-    assert got <= want and parts(got) == parts({(a, b) for a, b in want if shared[a] & shared[b]} | got)
-    assert 300 < len(set(parts(got).values())) < len(sets)
+    rows, sets, banded, pairs = line_sets(spark, lines)
+    assert max(np.unique([k for x in banded.values() for k in x], return_counts=True)[1]) > 300
+    found = {r["content"]: r["cluster"] for r in passages.line_clusters(rows.select("content", "grams"), passages.unique_lines(rows), group=group).collect()}
+    got = {c: found.get(c, c) for c in sets}
+    # Of pairs that share no band some may be joined too, if far_links() meets them; none that isn't similar by a chain.
+    least, most = (smallest([p for p in pairs if which(p)], sets) for which in (lambda p: banded[p[0]] & banded[p[1]], lambda p: True))
+    groups = lambda part: {frozenset(c for c in part if part[c] == x) for x in set(part.values())}
+    assert all(any(g <= h for h in groups(got)) for g in groups(least))
+    assert all(any(g <= h for h in groups(most)) for g in groups(got))
+    assert 300 < len(groups(got)) < len(sets)
+
+
+def test_far_links_are_all_pairs(spark):
+    rng = random.Random(8)
+    base = [sorted(rng.sample(range(-500, 500), 40)) for _ in range(6)]
+    sets = []
+    for c in range(120):
+        s = set(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            s ^= {rng.randrange(-500, 500)}
+        sets.append((c, rng.randrange(5) if rng.random() < 0.7 else 100 + c, sorted(s)))
+    want = {(a, b) for a, p, x in sets for b, q, y in sets if a < b and p != q and len({*x} & {*y}) >= 0.8 * len({*x} | {*y})}
+    df = spark.createDataFrame(sets, "content long, part long, grams array<int>")
+    for group in (2, 64):
+        assert {(r["a"], r["b"]) for r in passages.far_links(df, group=group).collect()} == want
+    assert len(want) > 100
 
 
 # Toxicity ----------------------------------------------------------------------------------------------------------
