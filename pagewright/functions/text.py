@@ -113,6 +113,24 @@ def evidence_kinds(s: Column, evidence=rules.EVIDENCE) -> Column:
     return F.filter(F.array(*[F.when(s.rlike(bounded(p)), k) for k, p in evidence]), lambda k: k.isNotNull())
 
 
+def has_hype(s: Column, terms: list[tuple[str, str]] | None = None) -> Column:
+    """Whether the text has a term of the lexicon: all terms in one pattern."""
+    every = sorted((t for t, _ in (rules.hype() if terms is None else terms)), key=len, reverse=True)
+    return F.lower(s).rlike(rf"(?<![\p{{L}}-])(?:{'|'.join(map(re.escape, every))})(?![\p{{L}}-])")
+
+
+def hype_density(s: Column, terms: list[tuple[str, str]] | None = None) -> Column:
+    """Terms of the lexicon a hundred words."""
+    found = F.when(has_hype(s, terms), F.size(hype_terms(s, terms, 100))).otherwise(0)
+    return F.lit(100.0) * found / words(s)
+
+
+def highlighted(s: Column, terms: tuple[str, ...]) -> Column:
+    """The text with each of the terms marked that no letter or hyphen stands next to, in any case (A-Z)."""
+    every = "|".join(map(re.escape, sorted(terms, key=len, reverse=True)))
+    return F.regexp_replace(s, rf"(?i)(?<![\p{{L}}-])({every})(?![\p{{L}}-])", "<mark>$1</mark>")
+
+
 def hype_terms(s: Column, terms: list[tuple[str, str]] | None = None, limit: int = 6) -> Column:
     """Terms of the lexicon in the order in which they stand, as structs of at (from 1), term and kind.
 

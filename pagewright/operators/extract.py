@@ -168,11 +168,23 @@ class Reader(HTMLParser):
         if self.link is not None:
             self.link_chunks.append(data)
 
+    def closing(self, n: int) -> str:
+        """The semicolon, if there is one, n characters behind the place that is being read."""
+        line, offset = self.getpos()
+        if self.starts is None:
+            self.starts = [0, *(m.end() for m in re.finditer("\n", self.source))]
+        at = self.starts[line - 1] + offset + n
+        return ";" if self.source[at : at + 1] == ";" else ""
+
     def handle_entityref(self, name: str) -> None:
-        self.handle_data(f"&{name};")
+        self.handle_data(f"&{name}{self.closing(len(name) + 1)}")
 
     def handle_charref(self, name: str) -> None:
-        self.handle_data(f"&#{name};")
+        self.handle_data(f"&#{name}{self.closing(len(name) + 2)}")
+
+    def feed(self, data: str) -> None:
+        self.source, self.starts = data, None
+        super().feed(data)
 
 
 def resolved(href: str, base: str) -> str:

@@ -190,3 +190,18 @@ def page_table(summaries: DataFrame) -> DataFrame:
     """Pages in the order of a report: most high findings, most findings, then by path; with place."""
     path = short_path(F.col("url"))
     return summaries.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("high"), F.desc("findings"), path, "url")))
+
+
+def coverage_order(rows: DataFrame, stretch: int = 4096) -> DataFrame:
+    """question_id (a number), status and place of all rows: unanswered ones first, then absent, then others, by id.
+
+    Numbered within stretches of `stretch` ids and over their counts, so that no task has to sort a whole status."""
+    rank = F.when(F.col("status") == "unanswered", 0).when(F.col("status") == "absent", 1).otherwise(2)
+    rows = rows.select("question_id", "status", rank.alias("rank"), F.floor(F.col("question_id") / stretch).alias("range"))
+    within = F.row_number().over(Window.partitionBy("rank", "range").orderBy("question_id"))
+    sizes = rows.groupBy("rank", "range").agg(F.count("*").alias("n"))
+    ranks = sizes.groupBy("rank").agg(F.sum("n").alias("all"))
+    lower = ranks.alias("a").join(ranks.alias("b"), F.col("b.rank") < F.col("a.rank"), "left").groupBy("a.rank").agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("lower"))
+    upto = F.sum("n").over(Window.partitionBy("rank").orderBy("range")) - F.col("n")
+    before = sizes.withColumn("upto", upto).join(lower, "rank").select("rank", "range", (F.col("upto") + F.col("lower")).alias("before"))
+    return rows.withColumn("within", within).join(before, ["rank", "range"]).select("question_id", "status", (F.col("before") + F.col("within")).alias("place"))

@@ -43,7 +43,8 @@ STRUCTURE = f"""WITH {PAGES} SELECT page_id, check_id, slots FROM (
 SELECT page_id, 'no_canonical' AS check_id, '' AS slots FROM arts UNION ALL SELECT page_id, 'no_meta_description', '' FROM arts UNION ALL SELECT page_id, 'no_structured_data', '' FROM arts
 UNION ALL SELECT page_id, 'weak_title', 'title=' || coalesce(title, '') FROM arts WHERE length(coalesce(title, '')) < 10
 UNION ALL SELECT page_id, 'no_structured_formats', 'count=' || count(*) FROM paras GROUP BY page_id HAVING count(*) >= 6
-UNION ALL SELECT page_id, 'passages_too_long', 'count=' || count(*) FILTER (len(string_split_regex(text, '\\s+')) > 120) || ';longest=' || max(len(string_split_regex(text, '\\s+'))) FROM paras GROUP BY page_id HAVING count(*) >= 6 AND count(*) FILTER (len(string_split_regex(text, '\\s+')) > 120) > 0)"""
+UNION ALL SELECT page_id, 'passages_too_long', 'count=' || count(*) FILTER (len(string_split_regex(text, '\\s+')) > 120) || ';longest=' || max(len(string_split_regex(text, '\\s+'))) FROM paras GROUP BY page_id HAVING count(*) >= 6 AND count(*) FILTER (len(string_split_regex(text, '\\s+')) > 120) > 0
+UNION ALL SELECT page_id, 'js_dependent', '' FROM sizes WHERE text_chars < 500 AND script_chars > 3 * text_chars)"""
 
 
 def structure(spark: S, d: str) -> DataFrame:
@@ -58,9 +59,8 @@ def d02_d05_structure_signals(spark: S, d: str) -> DataFrame:
     return with_slots(structure(spark, d))
 
 
-@query(f"WITH {PAGES} SELECT page_id, sum(length(regexp_replace(regexp_replace(text, '&', '&amp;', 'g'), '\"', '&quot;', 'g'))) > 0 AS has_text FROM paras GROUP BY page_id")
+@query(f"WITH {PAGES} SELECT page_id, text_chars < 500 AND script_chars > 3 * text_chars AS js_likely FROM sizes")
 def p22_script_dependence(spark: S, d: str) -> DataFrame:
-    """The SQL tells only whether a page has text; test_script_dependence holds this against a plain version."""
     return X.docs(extracted(spark, d)).select("page_id", "js_likely")
 
 
@@ -184,9 +184,11 @@ def j01_j02_eligible(spark: S, d: str) -> DataFrame:
     return C.eligible(turns(spark, d), C.link_cards(section_texts(spark, d))).select("page_id", "passage_ord")
 
 
-@query(f"WITH {LINES}, x AS (SELECT page_id, unnest({TOKENS.format('text').replace('[', '[', 1)}) AS w FROM lines WHERE passage_ord = 0) SELECT page_id, array_to_string(list(term ORDER BY n DESC, term)[:8], ',') AS terms FROM (SELECT page_id, regexp_replace(w, '(ing|ed|es|s)$', '') AS term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{N}}''-]{{2,}}')) AS w FROM lines WHERE passage_ord < 3) GROUP BY ALL) WHERE length(term) >= 3 AND NOT list_contains({list(rules.TOPIC_STOP)}, term) GROUP BY page_id")
+@query(f"""WITH {PAGES}, texts AS (SELECT page_id, title AS text FROM arts UNION ALL SELECT page_id, text FROM heads), terms AS (
+SELECT page_id, regexp_replace(w, '(ing|ed|es|s)$', '') AS term, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{N}}''-]{{2,}}')) AS w FROM texts) GROUP BY ALL)
+SELECT page_id, array_to_string(list(term ORDER BY n DESC, term)[:8], ',') AS terms FROM terms WHERE length(term) >= 3 AND NOT list_contains({list(rules.TOPIC_STOP)}, term) GROUP BY page_id""")
 def a10_topic_terms(spark: S, d: str) -> DataFrame:
-    """Of title and all headings of pages; the SQL tells the terms of the first three lines of documents."""
+    """Of title and all headings of pages."""
     e = extracted(spark, d)
     return C.topic_terms(X.docs(e), X.headings(e)).select("page_id", F.array_join("terms", ",").alias("terms"))
 

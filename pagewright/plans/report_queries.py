@@ -133,19 +133,10 @@ def o07_page_table(spark: S, d: str) -> DataFrame:
     return P.page_table(rows).select("page_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT question_id, status FROM (SELECT event_id AS question_id, ['answered', 'unanswered', 'absent'][event_id % 3 + 1] AS status FROM events) QUALIFY row_number() OVER (ORDER BY CASE status WHEN 'unanswered' THEN 0 WHEN 'absent' THEN 1 ELSE 2 END, question_id) <= 50")
+@query("SELECT question_id, status, row_number() OVER (ORDER BY CASE status WHEN 'unanswered' THEN 0 WHEN 'absent' THEN 1 ELSE 2 END, question_id) AS place FROM (SELECT event_id AS question_id, ['answered', 'unanswered', 'absent'][event_id % 3 + 1] AS status FROM events)")
 def o08_coverage_order(spark: S, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.col("event_id").alias("question_id"), F.element_at(F.array(F.lit("answered"), F.lit("unanswered"), F.lit("absent")), (F.col("event_id") % 3 + 1).cast("int")).alias("status"))
-    rank = F.when(F.col("status") == "unanswered", 0).when(F.col("status") == "absent", 1).otherwise(2)
-    # Numbered in ranges of ids, so that no task has to sort a whole status; the SQL tells the first 50 places only.
-    rows = rows.select("question_id", "status", rank.alias("rank"), F.floor(F.col("question_id") / 4096).alias("range"))
-    within = F.row_number().over(Window.partitionBy("rank", "range").orderBy("question_id"))
-    sizes = rows.groupBy("rank", "range").agg(F.count("*").alias("n"))
-    ranks = sizes.groupBy("rank").agg(F.sum("n").alias("all"))
-    lower = ranks.alias("a").join(ranks.alias("b"), F.col("b.rank") < F.col("a.rank"), "left").groupBy("a.rank").agg(F.coalesce(F.sum("b.all"), F.lit(0)).alias("lower"))
-    upto = F.sum("n").over(Window.partitionBy("rank").orderBy("range")) - F.col("n")
-    before = sizes.withColumn("upto", upto).join(lower, "rank").select("rank", "range", (F.col("upto") + F.col("lower")).alias("before"))
-    return rows.withColumn("within", within).join(before, ["rank", "range"]).select("question_id", "status", (F.col("before") + F.col("within")).alias("place"))
+    status = F.element_at(F.array(F.lit("answered"), F.lit("unanswered"), F.lit("absent")), (F.col("event_id") % 3 + 1).cast("int"))
+    return P.coverage_order(table(spark, d, "events").select(F.col("event_id").alias("question_id"), status.alias("status")))
 
 
 @query("SELECT provider, sum(calls) AS calls, sum(tokens) AS tokens, bool_or(degraded) AS degraded, arg_min(model, k) AS model FROM (SELECT user_id % 5 AS provider, event_id AS k, 1 AS calls, length(props) AS tokens, event_id % 97 = 0 AS degraded, CASE WHEN event_id % 3 = 0 THEN event_type END AS model FROM events) GROUP BY provider")

@@ -82,13 +82,13 @@ def p15_stems(spark: S, d: str) -> DataFrame:
 @query(f"WITH {LINES}, {HYPE} SELECT page_id, passage_ord, array_to_string(list_transform(found, lambda x: x.at || ':' || x.term), ',') AS found FROM hyped WHERE len(found) > 0")
 def p16_hype_terms(spark: S, d: str) -> DataFrame:
     found = T.hype_terms(F.col("text"), list(LEXICON))
-    return lines(spark, d).select("page_id", "passage_ord", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["at"].cast("string"), x["term"])), ",").alias("found")).where("found != ''")
+    rows = lines(spark, d).where(T.has_hype(F.col("text"), list(LEXICON)))
+    return rows.select("page_id", "passage_ord", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["at"].cast("string"), x["term"])), ",").alias("found"))
 
 
 @query(f"WITH {LINES}, {HYPE} SELECT page_id, passage_ord, round(100.0 * len(found) / {W}, 6) AS density FROM hyped")
 def p17_hype_density(spark: S, d: str) -> DataFrame:
-    found = F.size(T.hype_terms(F.col("text"), list(LEXICON), 100))
-    return lines(spark, d).select("page_id", "passage_ord", F.round(F.lit(100.0) * found / T.words(F.col("text")), 6).alias("density"))
+    return lines(spark, d).select("page_id", "passage_ord", F.round(T.hype_density(F.col("text"), list(LEXICON)), 6).alias("density"))
 
 
 def sql_kind() -> str:
@@ -165,11 +165,13 @@ def p32_visible_terms(spark: S, d: str) -> DataFrame:
     return lines(spark, d).where(F.size(found) > 0).select("page_id", "passage_ord", F.array_join(seen, ",").alias("visible"))
 
 
-@query(f"WITH {LINES} SELECT page_id, passage_ord, regexp_replace(text, '(?i)\\b(thend|with|the)\\b', '<mark>\\1</mark>', 'g') AS marked FROM lines WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]|-')")
+HIGHLIGHTED = ("thend", "with", "the")
+
+
+@query(rf"WITH {LINES} SELECT page_id, passage_ord, array_to_string(list_transform(regexp_extract_all(text, '[\p{{L}}-]+|[^\p{{L}}-]+'), lambda x: CASE WHEN lower(x) IN {HIGHLIGHTED} THEN '<mark>' || x || '</mark>' ELSE x END), '') AS marked FROM lines")
 def p33_highlights(spark: S, d: str) -> DataFrame:
-    """Terms without a letter or hyphen next to them, in all lines; the SQL tells ASCII lines without hyphens only."""
-    marked = F.regexp_replace("text", r"(?i)(?<![\p{L}-])(thend|with|the)(?![\p{L}-])", "<mark>$1</mark>")
-    return lines(spark, d).select("page_id", "passage_ord", marked.alias("marked"))
+    """Terms without a letter or hyphen next to them, in all lines."""
+    return lines(spark, d).select("page_id", "passage_ord", T.highlighted(F.col("text"), HIGHLIGHTED).alias("marked"))
 
 
 @query(f"WITH {PAGES} SELECT a.page_id, md5(lower(concat_ws(' ', title, '', h.text, p.text))) AS digest FROM arts a JOIN heads h USING (page_id) LEFT JOIN (SELECT page_id, string_agg(text, ' ' ORDER BY passage_ord) AS text FROM paras GROUP BY page_id) p USING (page_id)")

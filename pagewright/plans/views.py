@@ -72,6 +72,11 @@ arts AS (
   FROM (SELECT page_id, unnest(l[2:]) AS part, unnest(range(len(l) - 1)) AS pos FROM (SELECT page_id, string_split(art, '<p>') AS l FROM arts))
 ), paras AS (
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS passage_ord, 1 AS section_ord, 'paragraph' AS kind, text FROM cut WHERE length(text) >= 2
+), sizes AS (
+  SELECT page_id, length(regexp_replace(regexp_extract(art, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')) + coalesce(n, 0) AS text_chars, length(array_to_string(regexp_extract_all(html, '(?s)<(?:script|style|template)[^>]*>(.*?)</(?:script|style|template)>', 1), '')) AS script_chars
+  FROM arts LEFT JOIN (
+    SELECT page_id, sum(length(regexp_replace(string_split(part, '</p>')[1], '<[^>]*>', '', 'g'))) AS n FROM (SELECT page_id, unnest(string_split(art, '<p>')[2:]) AS part FROM arts) GROUP BY page_id
+  ) USING (page_id)
 )"""
 
 

@@ -242,3 +242,9 @@ def test_topic_terms_of_titles_and_headings(spark, tmp_path):
     spark.createDataFrame([(2, "other words", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     (got,) = queries()["a10_topic_terms"](spark, str(tmp_path)).collect()
     assert (got["page_id"], got["terms"].split(",")) == (1, ["zebra", "garden", "water", "word0", "word1", "word2", "word3", "word4"])
+
+
+def test_entities_without_a_semicolon_stay():
+    row = extract.read_page("<title>a &amp b &amp; c</title>\n<p>x &#38 y &#38; z</p>\n<h1>&amp</h1>", "https://e.com/")
+    assert row["title"] == "a &amp b & c"
+    assert "x &#38 y & z" in str(row["passages"]) and row["headings"][0][1] == "&amp"
