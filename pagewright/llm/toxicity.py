@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_training, held_out, map_batches, pick
+from .common import for_training, held_out, map_batches, pick, written
 
 #: Rows of each class that a model is fitted on at most (picked by a hash), and tokens that it has at most.
 SAMPLE_ROWS, TOKENS = 20_000, 50_000
@@ -20,8 +20,9 @@ FLAT, BACKGROUND = 0.5, 500.0
 #: Tokens whose log-odds are so many standard deviations from 0 count; other words score REST. Longer words also have the
 #: tokens of their first STEMS letters, for words that the sample doesn't have.
 SIGNIFICANT, REST, STEMS = 3.0, -0.25, (5, 4)
-#: K of the Karlin-Altschul statistics: E = K * words * exp(-lambda * score). Segments of a smaller E are significant.
-K, MOST_E, MOST_EVIDENCE = 0.1, 0.5, 60.0
+#: Segments with a smaller E = K * words * exp(-lambda * score) (Karlin and Altschul) are significant; a text's evidence at
+#: most. K is fitted on clean texts; UNFITTED_K holds where there are none with a segment.
+UNFITTED_K, MOST_E, MOST_EVIDENCE = 0.1, 0.5, 60.0
 PREDICTED = 0.7
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_passages long, passages string"
@@ -45,21 +46,23 @@ def maximal_segments(scores: np.ndarray) -> list[Segment]:
     ends = np.concatenate([edges, [len(scores)]])
     sums = np.add.reduceat(scores.astype(np.float64), starts)
     found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    lower: list[int] = []  # of each the last one before it with a smaller sum before: those between are passed once
     total = 0.0
     for start, end, value in zip(starts.tolist(), ends.tolist(), sums.tolist(), strict=True):
         before, total = total, total + value
         if value <= 0:
             continue
-        s, left = start, before
+        s, left, j = start, before, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = lower[j]
             if j < 0 or found[j][3] >= total:
                 found.append((s, end, left, total))
+                lower.append(j)
                 break
-            s, left = found[j][0], found[j][2]
-            del found[j:]
+            s, left, k = found[j][0], found[j][2], j
+            j = lower[j]
+            del found[k:], lower[k:]
     return [(s, e, right - left) for s, e, left, right in found]
 
 
@@ -90,8 +93,8 @@ def decay(weights: dict[float, float]) -> float:
 class Model:
     """Scores texts: token scores, lambda, and the logistic curve from a text's evidence to its score."""
 
-    def __init__(self, tokens: dict[str, float], rate: float, curve: tuple[float, float] = (-4.0, 1.0)):
-        self.tokens, self.rate, self.curve = tokens, rate, curve
+    def __init__(self, tokens: dict[str, float], rate: float, curve: tuple[float, float] = (-4.0, 1.0), k: float = UNFITTED_K):
+        self.tokens, self.rate, self.curve, self.k = tokens, rate, curve, k
         self.stems = {t[:-1]: s for t, s in tokens.items() if t.endswith("*")}
         self.words = {t: s for t, s in tokens.items() if not t.endswith("*")}
 
@@ -109,9 +112,14 @@ class Model:
 
     def significant(self, scores: np.ndarray, n: int) -> list[Segment]:
         """Segments that are significant in a text of n words, with their -ln E."""
-        found = ((s, e, self.rate * x - math.log(K * n)) for s, e, x in maximal_segments(scores))
+        found = ((s, e, self.rate * x - math.log(self.k * n)) for s, e, x in maximal_segments(scores))
         return [(s, e, x) for s, e, x in found if x > -math.log(MOST_E)]
 
+    def chance(self, tokens: list[str]) -> float | None:
+        """words * exp(-lambda * the best segment's score), whose mean over clean texts is 1 / K; null without a segment."""
+        found = maximal_segments(self.token_scores(tokens)) if tokens else []
+        return len(tokens) * math.exp(-self.rate * max(x for _, _, x in found)) if found else None
+
     def passages(self, tokens: list[str]) -> tuple[list[Segment], float]:
         """All significant segments with their -ln E, and their evidence together.
 
@@ -165,6 +173,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, rows: int) -> t
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Learns from the labelled rows that aren't held out; at most `rows` of each class."""
     sample, counts = labelled(docs, labels, id_column, rows)
+    sample = written(sample)  # at most 2 * rows texts, read three times
 
     def count():
         def each(batch: pa.RecordBatch) -> dict:
@@ -204,6 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rows: int
     weights[REST] += max(0.0, all_words["clean"] - sum(weights.values()))
     model = Model(tokens, decay(weights))
 
+    def chances():
+        def each(batch: pa.RecordBatch) -> dict:
+            return {"x": [model.chance(words(t)) for t in batch.column("text").to_pylist()]}
+
+        return each
+
+    # The maximum-likelihood K of extreme values, given lambda, over the clean texts that have a segment.
+    fitted = map_batches(sample.where("y = 0"), chances, "x double", "text").agg(F.count("x"), F.sum("x")).first()
+    model.k = fitted[0] / fitted[1] if fitted[0] and fitted[1] > 0 else UNFITTED_K
+
     def evidence():
         def each(batch: pa.RecordBatch) -> dict:
             found = [model.passages(words(t)) for t in batch.column("text").to_pylist()]
