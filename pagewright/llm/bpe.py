@@ -6,6 +6,7 @@ import heapq
 import json
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -136,8 +137,7 @@ def default_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encode_column(docs: DataFrame, id_column: str = "doc_id", path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Encodes each whole text and decodes its ids again; columns as in SCHEMA, and with_ids also ids (array of int) and
-    decoded.
+    """Encodes each whole text and decodes its ids again; columns as in SCHEMA, and with_ids also ids (array of int).
 
     The vocabulary file must be at `path` on every worker (default: the installed public vocabulary). Null text: as empty,
     no tokens. Repeated rows are encoded each. Other columns are left out. A worker holds the vocabulary, a bounded memory
@@ -146,7 +146,6 @@ def encode_column(docs: DataFrame, id_column: str = "doc_id", path: str | None =
 
     def make():
         import hashlib
-        from array import array
 
         voc = vocabulary(path or default_path())
         sha = lambda data: hashlib.sha256(data).hexdigest()
@@ -155,8 +154,11 @@ def encode_column(docs: DataFrame, id_column: str = "doc_id", path: str | None =
             ids = [voc.encode(t or "") for t in batch.column("text").to_pylist()]
             texts = [voc.decode(i) for i in ids]
             out = {"doc_id": batch.column(id_column), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": [sha(i) for i in ids], "decoded_sha256": [sha(t.encode()) for t in texts]}
-            return out | ({"ids": [array("I", i).tolist() for i in ids], "decoded": texts} if with_ids else {})
+            if with_ids:
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            return out
 
         return each
 
-    return map_batches(pick(docs, id_column, "text"), make, SCHEMA + (", ids array<int>, decoded string" if with_ids else ""), "text", most=2 << 20)
+    return map_batches(pick(docs, id_column, "text"), make, SCHEMA + (", ids array<int>" if with_ids else ""), "text", most=2 << 20)

@@ -110,12 +110,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared checkpoint folder and read again; the files go when the session ends."""
+    """df, written as Parquet to the shared checkpoint folder and read again; the files go when the session ends.
+
+    Columns are stored by position, so that names that differ in case only do no harm. Shuffle files of what made df are
+    deleted once the driver's JVM has collected its plan, which is asked for here.
+    """
     spark = df.sparkSession
     shared_checkpoints(spark)
     sc = spark.sparkContext
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    stored = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    stored.write.parquet(path)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    sc._jvm.System.gc()
+    return spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)

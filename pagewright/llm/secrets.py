@@ -135,23 +135,29 @@ def scan_secrets(docs: DataFrame, id_column: str = "doc_id", around: int = AROUN
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """documents with secrets replaced in their texts and n_chars the new length; all other columns stay."""
-    columns = docs.columns
-    kept = docs.select(*columns)
+    """documents with secrets replaced in their texts and n_chars the new length; all other columns stay, whatever their names.
+
+    Null text stays null, an empty one empty; very long ones are scanned whole. Repeated rows are kept each.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text, names = f"c{docs.columns.index('text')}", plain.columns
 
     def make():
         novelty = Novelty()
 
         def each(batch: pa.RecordBatch) -> dict:
             texts = []
-            for text in batch.column("text").to_pylist():
-                base = base_spans(text or "")
-                every = sorted(base + novelty.spans(text or "", base))
-                texts.append(redacted(text, every) if every else text)
-            return {c: batch.column(c) for c in columns} | {"text": texts}
+            for value in batch.column(text).to_pylist():
+                base = base_spans(value or "")
+                every = sorted(base + novelty.spans(value or "", base))
+                texts.append(redacted(value, every) if every else value)
+            return {c: batch.column(c) for c in names} | {text: texts}
 
         return each
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = map_batches(kept, make, fields, "text", most=2 << 20)
-    return out.withColumn("n_chars", F.length("text").cast(dict(kept.dtypes)["n_chars"])) if "n_chars" in columns else out
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    out = map_batches(plain, make, fields, text, most=2 << 20)
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        out = out.withColumn(n, F.length(text).cast(dict(plain.dtypes)[n]))
+    return out.toDF(*docs.columns)

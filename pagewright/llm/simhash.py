@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, checkpoint, map_batches, pick
+from .common import ASCII_LOWER, checkpoint, map_batches, pick, written
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -92,10 +92,13 @@ def one_each(docs: DataFrame) -> DataFrame:
     """documents with one row of each group of near-duplicates, that of the smallest doc_id; all columns stay as they are.
 
     Of repeated rows with that doc_id and fingerprint one stays. Rows without doc_id stay only where a group has no other.
+    Null and empty texts are one group; very long ones are hashed whole. Names of other columns may clash.
     """
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    marked = fingerprints(plain.withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text"}), carry=tuple(c if c not in (at["doc_id"], at["text"]) else {at["doc_id"]: "doc_id", at["text"]: "text"}[c] for c in plain.columns))
+    names = {at["doc_id"]: "doc_id", at["text"]: "text"}
+    # Written with its fingerprints: texts are hashed once.
+    marked = written(fingerprints(plain.withColumnsRenamed(names), carry=tuple(names.get(c, c) for c in plain.columns)))
     first = grouped(marked.select("_id", "_fp")).groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("x"))
     key = lambda c: (F.col(c).isNull(), F.coalesce(F.col(c), F.lit(0).cast("long")))
     first = first.select(F.col("x.fp").alias("k0"), *[v.alias(f"k{n + 1}") for n, v in enumerate(key("x.least"))])

@@ -50,6 +50,23 @@ def test_passages_of_odd_rows(spark, odd, none):
     assert passages.repeated_passages(none).collect() == []
 
 
+def test_stages_keep_columns_that_differ_in_case(spark):
+    from pagewright.llm.common import written
+
+    rows = [(k, "some words to be kept, password = hunter2hunter2 " + str(k) * 9, "en", "a", 70, "other", 1, "m") for k in range(5)]
+    plain = spark.createDataFrame(rows, "a long, b string, c string, d string, e long, f string, g int, h string")
+    df = plain.toDF("doc_id", "text", "lang", "source", "n_chars", "TEXT", "_fp", "mark")
+    for f in (secrets.redact, langid.recognised, simhash.one_each, mixing.mixed, written):
+        out = f(df)
+        assert out.columns == df.columns and all(r[5] == "other" and r[7] == "m" for r in out.collect())
+    assert all("hunter2" not in r[1] for r in secrets.redact(df).collect())
+
+
+def test_null_text_of_toxicity(spark, odd):
+    r = OPERATORS["toxicity"](spark, odd).where("doc_id = 3").first()
+    assert r["n_passages"] == 0 and r["passages"] == "" and 0 <= r["score"] <= 1
+
+
 def test_columns_that_differ_in_case(spark):
     df = spark.createDataFrame([(1, "a b", "A")], "doc_id long, text string, other string").toDF("doc_id", "text", "TEXT")
     assert simhash.near_duplicates(df).count() == 1
