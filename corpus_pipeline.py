@@ -38,8 +38,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each text's tokens, and the digest of what they decode to."""
-    return bpe.encode_column(docs)
+    """The token ids of each text, their number and digest, and the digest of what they decode to."""
+    return bpe.encode_column(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
