@@ -27,7 +27,7 @@ STEPS = [
 ]
 MOVES = [-1, -1, -1, -1, 2, 4, 6, 8]
 
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 @cache
@@ -145,15 +145,24 @@ def resample(pcm: np.ndarray, rate: int, target: int = TARGET_RATE, taps: int =
     g = math.gcd(rate, target)
     up, down = target // g, rate // g
     phases, n = _phases(up, down, taps), len(pcm)
-    out = np.empty(n * up, np.int16)
     part = 1 << 18  # so that the floats of a long recording are never all there
     padded = np.pad(pcm, (taps - 1, taps))
+    if down > 1:
+        # Sample m of the result is phase m * down mod up at place m * down // up; others aren't made.
+        out = np.empty(-(-n * up // down), np.int16)
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * taps)
+        for first in range(min(up, len(out))):
+            for at in range(first, len(out), part * up):
+                place = np.arange(at, min(len(out), at + part * up), up) * down // up
+                out[at : at + part * up : up] = np.clip(np.rint(around[place].astype(np.float32) @ phases[first * down % up][::-1]), -32768, 32767)
+        return out
+    out = np.empty(n * up, np.int16)
     for at in range(0, n, part):
         m = min(part, n - at)
         x = padded[at : at + m + 2 * taps - 1].astype(np.float32)
         for p in range(up):
             out[at * up + p : (at + m) * up : up] = np.clip(np.rint(np.convolve(x, phases[p], "valid")), -32768, 32767)
-    return out[::down]
+    return out
 
 
 def feature(tag: int, rate: int, pcm: np.ndarray) -> str:
@@ -173,7 +182,8 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", target_rate: int = T
     WAV file) and pcm (a WAV file of the samples at target_rate).
 
     The payload's bytes are, without loss, mu-law samples, A-law samples or ADPCM codes, by crc32 of the payload mod 3. All
-    that is returned of the payload comes from the stored bytes. feature() describes the resampled PCM.
+    that is returned of the payload comes from the stored bytes. The samples, expanded and resampled, are stored as a PCM file
+    (its size and digest: pcm_bytes, pcm_sha256), which feature() describes as it's read back.
 
     Null text: as empty, a payload of 64 bytes 0. Repeated rows are stored each; equal texts have equal values. Other columns
     are left out. A worker holds some MB of texts and their samples at a time, or one text.
@@ -187,13 +197,16 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", target_rate: int = T
             media = [store(p := payload_of(t), (MULAW, ALAW, ADPCM)[zlib.crc32(p) % 3]) for t in texts]
             read = [read_wav(m) for m in media]
             back = [stored_payload(tag, align, data) for tag, _, align, data in read]
-            sounds = [resample(pcm, rate, target_rate) for pcm, (_, rate, _, _) in zip(expand([(t, a, d) for t, _, a, d in read]), read, strict=True)]
+            made = [resample(pcm, rate, target_rate) for pcm, (_, rate, _, _) in zip(expand([(t, a, d) for t, _, a, d in read]), read, strict=True)]
+            stored = [wav(PCM, target_rate, s.astype("<i2").tobytes(), 16, 2) for s in made]
+            sounds = [np.frombuffer(read_wav(s)[3], "<i2") for s in stored]
             out = {
                 "doc_id": batch.column(id_column), "n_bytes": [len(t) for t in texts], "payload_bytes": [len(b) for b in back], "payload_sha256": [sha256(b).hexdigest() for b in back],
                 "tail_crc32": [zlib.crc32(b[-UNIT:]) for b in back], "media_bytes": [len(m) for m in media], "media_sha256": [sha256(m).hexdigest() for m in media],
                 "feature": [feature(r[0], target_rate, s) for r, s in zip(read, sounds, strict=True)],
+                "pcm_bytes": [len(s) for s in stored], "pcm_sha256": [sha256(s).hexdigest() for s in stored],
             }
-            return out | ({"media": media, "pcm": [wav(PCM, target_rate, s.astype("<i2").tobytes(), 16, 2) for s in sounds]} if with_files else {})
+            return out | ({"media": media, "pcm": stored} if with_files else {})
 
         return each
 
