@@ -106,11 +106,11 @@ class Parser:
             np.add.at(out[row], owner[order], n)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], part: int = PART) -> tuple[list[str], list[float]]:
         coded = [self.coded(t) if t else np.zeros(0, np.uint8) for t in texts]
         if not self.langs:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        counts = self.phrases(coded)
+        counts = self.phrases(coded, part or max(1, *map(len, coded), 1))
         cost = counts * np.array([[math.log(max(2, self.sizes[x]))] for x in self.langs])
         best = cost.argmin(axis=0)
         weight = np.exp(np.maximum(cost.min(axis=0) - cost, -700.0) / 4)
@@ -154,18 +154,20 @@ def learn(texts: dict[str, str], letters: int = LETTERS) -> tuple[str, dict, dic
 _PARSERS: dict[str, Parser] = {}
 
 
-def identify(docs: DataFrame, id_column: str = "doc_id", train: DataFrame | None = None, carry: tuple[str, ...] = (), **bounds: int) -> DataFrame:
+def identify(docs: DataFrame, id_column: str = "doc_id", train: DataFrame | None = None, carry: tuple[str, ...] = (), part: int = PART, letters: int = LETTERS, **bounds: int) -> DataFrame:
     """Predicts the language of each whole text; columns as in SCHEMA, then those of docs that `carry` names.
 
     Learns from text and lang of the rows of `train` (docs) that aren't held out, by samples() with its bounds, and makes a
     suffix automaton of each language's sample. A text is cross-parsed in every language: each phrase is the longest match
     with the sample that begins where the last one ended. The language with the fewest phrases, times the logarithm of its
-    sample's size, wins; ties go to the first by name. score is the winner's share of exp(-cost / 4).
+    sample's size, wins; ties go to the first by name. score is the winner's share of exp(-cost / 4). Texts are parsed in
+    parts of `part` characters side by side, each of which begins a phrase; part 0 parses each text in one, which takes a
+    step for each character of a batch's longest text. The `letters` (254 at most) most frequent letters are told apart.
 
     `und` with score 0: null text, a text without letters, or nothing to learn from. Null lang: not learned from. Repeated
     rows are judged each. The automata (at most all_chars characters in all) are all that is sent to workers.
     """
-    alphabet, edges, sizes = learn(samples(docs if train is None else train, id_column, **bounds))
+    alphabet, edges, sizes = learn(samples(docs if train is None else train, id_column, **bounds), letters)
     sent = docs.sparkSession.sparkContext.broadcast((alphabet, edges, sizes))
     key = f"{docs.sparkSession.sparkContext.applicationId}:{sent._jbroadcast.id()}"
     names = [c for c in dict.fromkeys((id_column, "text", *carry))]
@@ -179,7 +181,7 @@ def identify(docs: DataFrame, id_column: str = "doc_id", train: DataFrame | None
         parser = _PARSERS[key]
 
         def each(batch: pa.RecordBatch) -> dict:
-            langs, scores = parser.predict(batch.column("text").to_pylist())
+            langs, scores = parser.predict(batch.column("text").to_pylist(), part)
             return {c: batch.column(c) for c in carry} | {f"{x}doc_id": batch.column(id_column) for x in ("_" if carry else "",)} | {"held_out": batch.column("_held_out"), "lang_pred": langs, "score": scores}
 
         return each
@@ -191,7 +193,8 @@ def identify(docs: DataFrame, id_column: str = "doc_id", train: DataFrame | None
 
 def recognised(docs: DataFrame) -> DataFrame:
     """documents whose language is identified, with all their columns; texts of no language (`und`) go, and a lang that
-    was null is the predicted one."""
+    was null is the predicted one. Null and empty texts go; very long ones are parsed whole. Repeated rows are judged each.
+    Names of other columns may clash."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     named = plain.withColumnsRenamed({at["doc_id"]: "doc_id", at["text"]: "text", at["lang"]: "lang"})

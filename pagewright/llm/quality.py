@@ -12,7 +12,8 @@ from .common import map_batches, pick
 #: From so many bytes on, the least and the greatest ratio of raw to compressed bytes that prose of that length has, with
 #: a margin. Short texts hardly compress; long ones compress better.
 BANDS = [(0, 0.0, 1.8), (64, 0.5, 1.9), (128, 0.9, 2.3), (256, 1.1, 2.5), (512, 1.2, 2.6), (1024, 1.3, 2.8), (2048, 1.4, 2.9), (4096, 1.5, 3.1), (16384, 1.6, 3.6)]
-#: Fixed chunks of so many bytes (a shorter rest doesn't count), their band, and the share of chunks that may be outside.
+#: Fixed chunks of so many bytes, their band (a shorter rest has the band of its length), and the share of chunks that may
+#: be outside.
 CHUNK, CHUNK_BAND, OUTSIDE = 2048, (1.3, 3.0), 0.25
 LEVEL, GRAM = 3, 5
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -65,7 +66,7 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", bands: list[tuple[
 
     base_failed: under 10 words, or over a fifth of the words in 5-word windows that the text has twice. kept: the base
     passed, the whole document's zstandard ratio is in the band of its length, and at most a share `outside` of its chunks
-    of `chunk` bytes has a ratio out of chunk_band: repetitive texts are above the bands, incompressible ones below.
+    of `chunk` bytes has a ratio out of chunk_band, or, of the shorter last one, out of the band of its length: repetitive texts are above the bands, incompressible ones below.
 
     Null or empty text: no words, ratio 0, base_failed. Repeated rows are judged each. Other columns are left out. A worker
     holds some MB of texts at a time, or one text.
@@ -85,8 +86,9 @@ def judge_quality(docs: DataFrame, id_column: str = "doc_id", bands: list[tuple[
                 n, repeats = len(words), repeated_words(words)
                 failed = n < 10 or 100 * repeats > 20 * n
                 ratio = pressed(data) if data else 0.0
-                parts = [pressed(data[k : k + chunk]) for k in range(0, len(data) - chunk + 1, chunk)]
-                odd = sum(not chunk_band[0] <= r <= chunk_band[1] for r in parts)
+                cut = [data[k : k + chunk] for k in range(0, len(data), chunk)]
+                parts = [pressed(x) for x in cut] if len(cut) > 1 else [ratio] * len(cut)
+                odd = sum(not (chunk_band[0] <= r <= chunk_band[1] if len(x) == chunk else in_band(len(x), r, bands)) for x, r in zip(cut, parts, strict=True))
                 for c, v in (
                     ("n_words", n), ("word_chars", len(text or "") - len(data) + len(data.translate(None, SPACE))), ("n_symbols", len(data) - len(data.translate(None, SYMBOLS))),
                     ("n_dup_lines", duplicate_lines(data)), ("n_repeat_words", repeats), ("base_failed", failed),
