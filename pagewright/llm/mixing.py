@@ -12,6 +12,8 @@ BLOCK, BUCKET_ROWS, SHARD_SLOTS, CHUNK = 64, 20_000, 1 << 20, 1 << 12
 #: Weights of the sources by their order, repeating; what the mix takes of all words; how often a word is taken at most.
 WEIGHTS, TOTAL, EPOCHS = (3, 1, 2), 1.5, 2
 SEED, MOST_BROADCAST = 42, 50_000
+#: Slots that a task makes, about.
+TASK_SLOTS = 1 << 19
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = EPOCHS) -> DataFrame:
@@ -126,7 +128,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights:
     targets = targets.join(by_source.select("source", "rows").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     targets = checkpoint(targets.withColumn("n_blocks", n_blocks).withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("n_blocks")).otherwise(F.lit(0.0))).withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int")))
     # A row a source of some 100 bytes: sent to all tasks only where they are known to be few.
-    small = F.broadcast if targets.count() <= MOST_BROADCAST else lambda df: df
+    n_sources, n_slots = targets.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0.0))).first()
+    small = F.broadcast if n_sources <= MOST_BROADCAST else lambda df: df
 
     # By hash of the row and the size of its source, so that no bucket is larger than about BUCKET_ROWS.
     dealt = sized.withColumnRenamed("source", "s").join(small(targets.select("source", "k", "buckets")), F.col("s").eqNullSafe(F.col("source"))).drop("s")
@@ -140,7 +143,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", block: int = BLOCK, weights:
 
     counts = shard_counts(targets.select("k", "n_blocks", "slots"), shard_slots, seed).join(small(targets.select("k", "n_blocks")), "k")
     chunks = counts.where("count > 0").select("k", "n_blocks", "shard", "first", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(CHUNK).cast("long"))).alias("c"))
-    chunks = chunks.repartition("k", "shard", "c")
+    chunks = chunks.repartition(1 + int(n_slots // TASK_SLOTS), "k", "shard", "c")
     slots = chunks.select("k", "n_blocks", "shard", F.explode(F.sequence(F.col("first") + F.col("c"), F.col("first") + F.least(F.col("c") + CHUNK, "count") - 1)).alias("slot"))
     slots = slots.where(F.col("slot") < F.lit(most) * F.col("n_blocks")).withColumn("epoch", F.floor(F.col("slot") / F.col("n_blocks")))
     takes = slots.select("k", permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.col("k"), F.col("epoch"), F.lit(seed)).alias("block"), "epoch", "shard", "slot")
