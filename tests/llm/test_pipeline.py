@@ -76,7 +76,12 @@ def test_the_mix_is_what_is_taken(spark, steps):
 
 def test_run_and_odd_rows(spark, sf, odd, none):
     got = corpus_pipeline.run(spark, sf)
-    assert got.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 150
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and got.count() > 150
+    voc = bpe.vocabulary(bpe.default_path())
+    for r in got.limit(40).collect():
+        ids = np.array(r["ids"], "<u4").tobytes()
+        assert len(r["ids"]) == r["n_tokens"] and hashlib.sha256(ids).hexdigest() == r["ids_sha256"]
+        assert hashlib.sha256(voc.decode(ids).encode()).hexdigest() == r["decoded_sha256"]
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, sf)
@@ -85,6 +90,14 @@ def test_run_and_odd_rows(spark, sf, odd, none):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
 
 
+def test_run_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    for k, docs in enumerate((odd, none)):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()
+        assert {r["doc_id"] for r in got} <= {1, 2, 6, 7, 9, None} and bool(got) == (k == 0)
+        assert all("hunter2" not in str(r) for r in got)
+
+
 def test_language_samples_are_bounded(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.samples(docs, chars=5000, all_chars=8000)

@@ -94,12 +94,33 @@ def test_resampling_keeps_a_tone():
     assert (telephony.resample(long, 8000, 16000)[200:7000] == np.tile(up, 2)[200:7000]).all()
 
 
+@pytest.mark.parametrize("rate", [44100, 11025, 48000, 22050])
+def test_resampling_makes_the_kept_phases_only(rate):
+    rng = np.random.default_rng(rate)
+    pcm = rng.integers(-9000, 9000, 3000).astype(np.int16)
+    g = np.gcd(rate, 16000)
+    up, down, taps = 16000 // g, rate // g, telephony.TAPS
+    phases, padded = telephony._phases(up, down, taps).astype(float), np.pad(pcm, (taps - 1, taps)).astype(float)
+    want = [np.dot(padded[m * down // up : m * down // up + 2 * taps], phases[m * down % up][::-1]) for m in range(-(-len(pcm) * up // down))]
+    got = telephony.resample(pcm, rate, 16000)
+    assert len(got) == len(want) and np.abs(got - np.clip(want, -32768, 32767)).max() <= 1
+
+
 def test_files_that_cannot_be_read(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"junk")), (3, bytearray(telephony.store(b"\x55" * 64, telephony.ALAW)))], "doc_id long, media binary")
     got = {r["doc_id"]: r for r in telephony.resample_column(df).collect()}
     assert got[1]["pcm"] is None and got[1]["error"] is None and got[2]["error"] and len(got[3]["pcm"]) == 44 + 4 * 64
 
 
+def test_stored_pcm(spark):
+    r = telephony.store_texts(spark.createDataFrame([(1, "some text" * 30)], "doc_id long, text string"), with_files=True).first()
+    assert r["pcm_bytes"] == len(r["pcm"]) and r["pcm_sha256"] == hashlib.sha256(r["pcm"]).hexdigest()
+    tag, rate, _, data = telephony.read_wav(r["pcm"])
+    media_tag, media_rate, align, media = telephony.read_wav(r["media"])
+    assert (tag, rate) == (telephony.PCM, 16000)
+    assert np.array_equal(np.frombuffer(data, "<i2"), telephony.resample(telephony.expand([(media_tag, align, media)])[0], media_rate))
+
+
 def test_columns_of_stored_texts(spark):
     r = telephony.store_texts(spark.createDataFrame([(1, "häß")], "doc_id long, text string"), with_files=True).first()
     payload = "häß".encode() + b"\0" * 59
@@ -163,6 +184,20 @@ def test_phrases_are_longest_matches(sample, text):
     assert got.tolist() == [want, 0] or "d" in rare
 
 
+def test_whole_texts_can_be_parsed_in_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    samples = langid.samples(docs)
+    parser = langid.Parser(*langid.learn(samples))
+    rows = docs.select("doc_id", "text").where("length(text) between 300 and 1500").limit(12).collect()
+    want = parser.phrases([parser.coded(r["text"]) for r in rows], part=10**4)
+    plain = lambda t: "".join(c if c.isalpha() else " " for c in t.lower())
+    for k, r in enumerate(rows[:3]):
+        for row, lang in enumerate(parser.langs):
+            assert want[row][k] == plain_phrases(plain(r["text"]), plain(samples[lang]))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, part=0).collect()}
+    assert all(got[r["doc_id"]] == parser.predict([r["text"]], 0)[0][0] for r in rows)
+
+
 def test_language_of_held_out_documents(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -253,6 +288,15 @@ def test_quality_verdicts(spark):
     assert got[1]["kept"] and not got[2]["kept"] and not got[3]["kept"] and not got[3]["base_failed"]
 
 
+def test_a_short_repetitive_end_counts(spark):
+    rng = random.Random(1)
+    prose = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 9))) for _ in range(800)).encode()[:2048].decode()
+    rows = [(1, prose), (2, prose + " " + "y" * 1500)]
+    got = {r["doc_id"]: r for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["kept"] and (got[1]["n_chunks"], got[2]["n_chunks"]) == (1, 2)
+    assert got[2]["chunks_outside"] == 1 and not got[2]["kept"] and not got[2]["base_failed"]
+
+
 # Mixing ------------------------------------------------------------------------------------------------------------
 
 
@@ -589,3 +633,23 @@ def test_the_bloom_filter_has_no_false_negatives(spark):
     probe = spark.range(20000).select("id", F.xxhash64("id").alias("key")).withColumn("held", urls.might_hold(bits.scalar(), F.col("key"), 512))
     held = {r["id"] for r in probe.where("held").collect()}
     assert set(range(5000)) <= held and len(held) < 5600
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def took(n):
+        scores = np.tile(np.array([1.0, -1.25], np.float32), n)
+        began = time.perf_counter()
+        assert len(toxicity.maximal_segments(scores)) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(100_000) < 40 * max(took(10_000), 0.005)
+
+
+def test_k_is_fitted_on_clean_texts():
+    model = toxicity.Model({"bad": 2.0}, 1.0)
+    assert model.chance(["x"] * 5) is None and model.chance([]) is None
+    assert model.chance(["x", "bad", "x", "x"]) == pytest.approx(4 * np.exp(-2.0))
+    assert toxicity.Model({"bad": 2.0}, 1.0, k=0.01).significant(np.array([2.0, 1.5]), 2)[0][2] == pytest.approx(3.5 - np.log(0.02))
