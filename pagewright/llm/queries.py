@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, langid, mixing, passages, quality, secrets, simhash, telephony, toxicity, urls
@@ -55,6 +54,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # beside the package, which doesn't need it
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
@@ -63,4 +64,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    """The pipeline's SQL, if there is any, is corpus_pipeline.ORACLE_SQL."""
+    return {"op10_url_filter": urls.SQL}
