@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright import rules
 from pagewright.functions import text as T
 
 
@@ -59,6 +60,14 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("page_id").agg(F.count("*").alias("n"), of("high").alias("high"), of("medium").alias("medium"), of("low").alias("low"))
 
 
+def module_counts(findings: DataFrame) -> DataFrame:
+    """page_id, module, n and place: findings by module, in the order in which modules are read; unknown ones come last."""
+    counts = findings.groupBy("page_id", "module").agg(F.count("*").alias("n"))
+    at = F.array_position(F.array(*[F.lit(m) for m in rules.MODULES]), F.col("module"))
+    own = Window.partitionBy("page_id").orderBy(F.when(at > 0, at).otherwise(len(rules.MODULES) + 1), "module")
+    return counts.withColumn("place", F.row_number().over(own))
+
+
 def verified(quotes: DataFrame) -> DataFrame:
     """quotes (text, quote, ...) whose text has them, in Unicode's composed form and with like white space."""
 

@@ -64,6 +64,19 @@ def normalized(url: Column) -> Column:
     return F.when(refusal(url).isNull(), F.concat(p["scheme"], F.lit("://"), p["host"], port, p["rest"]))
 
 
+def backend(url: Column, allow_private: bool = False) -> tuple[Column, Column]:
+    """Address (origin and path without a closing slash) of a decision service, and why it is refused (as refusal(); `invalid`
+    without a scheme). allow_private lets hosts and numbers of the local network pass. The address is null if refused."""
+    p = parts(url)
+    why = refusal(url)
+    ours = F.when(why.isin("host", "suffix", "ipv6", "ip_private", "ip"), None).otherwise(why) if allow_private else why
+    t = F.trim(url)
+    why = F.when(F.coalesce(t, F.lit("")) == "", "empty").when(~t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), "invalid").otherwise(ours)
+    port = F.when((p["port"] == "") | ((p["scheme"] == "https") & (p["port"] == "443")) | ((p["scheme"] == "http") & (p["port"] == "80")), "").otherwise(F.concat(F.lit(":"), p["port"]))
+    path = F.regexp_replace(F.regexp_extract(p["rest"], r"^[^?]*", 0), "/$", "")
+    return F.when(why.isNull(), F.concat(p["scheme"], F.lit("://"), p["host"], port, path)), why
+
+
 def site(host: Column) -> Column:
     return F.regexp_replace(host, r"^www\.", "")
 

@@ -260,6 +260,18 @@ def a02_occurrences(spark: S, d: str) -> DataFrame:
     return structure(spark, d).groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
+MODULE_OF = f"{[c[1] for c in rules.CHECKS]}[event_id % {len(rules.CHECKS)} + 1]"
+
+
+@query(f"SELECT page_id, module, n, row_number() OVER (PARTITION BY page_id ORDER BY list_position({list(rules.MODULES)}, module)) AS place FROM (SELECT user_id AS page_id, {MODULE_OF} AS module, count(*) AS n FROM events GROUP BY ALL)")
+def a03_module_counts(spark: S, d: str) -> DataFrame:
+    """Events as findings of all checks in turn."""
+    ids = F.array(*[F.lit(c[0]) for c in rules.CHECKS])
+    found = table(spark, d, "events").select(F.col("user_id").alias("page_id"), F.element_at(ids, (F.col("event_id") % len(rules.CHECKS) + 1).cast("int")).alias("check_id"))
+    told = found.join(F.broadcast(rules.checks(spark).select("check_id", "module")), "check_id")
+    return N.module_counts(told).select("page_id", "module", "n", F.col("place").cast("long").alias("place"))
+
+
 def synthetic_findings(spark: S, d: str) -> DataFrame:
     """Findings of turns as sections, of checks that subsume each other."""
     checks = ("answer_absent", "heading_not_answered", "needs_context", "answer_buried", "heavily_promotional")

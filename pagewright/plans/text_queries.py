@@ -223,6 +223,19 @@ def p01_p02_p03_urls(spark: S, d: str) -> DataFrame:
     return made_urls(spark, d).select("page_id", I.refusal(F.col("given")).alias("refused"), I.normalized(F.col("given")).alias("normal"))
 
 
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'invalid' WHEN 1 THEN 'credentials' WHEN 2 THEN 'ip_private' END AS refused,
+CASE page_id % 4 WHEN 2 THEN NULL WHEN 3 THEN regexp_extract(url, '^([a-z]+://)', 1) || {HOST} || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') END AS address,
+CASE page_id % 4 WHEN 2 THEN 'http://127.0.0.1:8080' || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') WHEN 3 THEN regexp_extract(url, '^([a-z]+://)', 1) || {HOST} || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/$', '') END AS private
+FROM pages""")
+def p04_backend_addresses(spark: S, d: str) -> DataFrame:
+    """Urls of pages as they are, without a scheme, with credentials and on this machine."""
+    rest = F.regexp_extract("url", "://(.*)", 1)
+    path = F.regexp_extract("url", "://[^/?#]*(.*)", 1)
+    given = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("//"), rest)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://me:it@"), rest)).when(F.col("page_id") % 4 == 2, F.concat(F.lit("http://127.0.0.1:8080"), path)).otherwise(F.col("url"))
+    address, why = I.backend(F.col("given"))
+    return table(spark, d, "pages").select("page_id", given.alias("given")).select("page_id", why.alias("refused"), address.alias("address"), I.backend(F.col("given"), True)[0].alias("private"))
+
+
 @query(f"SELECT page_id, regexp_replace({HOST}, '^www\\.', '') AS site, regexp_matches(url, '(?i)\\.(jpe?g|png|gif|webp|svg|pdf|zip|mp4|mp3|css|js|xml|json)(\\?|$)') AS asset FROM pages")
 def s07_url_filters(spark: S, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", I.site(host(F.col("url"))).alias("site"), I.is_asset(F.col("url")).alias("asset"))
