@@ -104,7 +104,7 @@ def units(texts: list[str | None], line: int = LINE, window: int = WINDOW, among
     content, check = runs(hashes, starts, stops), runs(again, starts, stops) >> np.uint64(32)
     # Equal windows that overlap, as in a run of one word, are one.
     w = len(begin)
-    same = np.flatnonzero((content[1:w] == content[: w - 1]) & (check[1:w] == check[: w - 1]) & (doc[begin[1:]] == doc[begin[:-1]]) & (np.diff(begin) < window)) + 1
+    same = np.flatnonzero((content[1:w] == content[: max(w - 1, 0)]) & (check[1:w] == check[: max(w - 1, 0)]) & (doc[begin[1:]] == doc[begin[:-1]]) & (np.diff(begin) < window)) + 1
     once = np.delete(np.arange(len(starts)), same)
     after = np.append(once[1:], len(starts))
     stops = np.where(once < w, stops[np.minimum(after, w) - 1] if w else 0, stops[once])

@@ -48,6 +48,9 @@ def test_passages_of_odd_rows(spark, odd, none):
     got = {(r["doc_id"], r["removed"]) for r in passages.repeated_passages(odd).collect()}
     assert got == set()  # documents 1 and 2 share 13 words only, and a repeated row is one document
     assert passages.repeated_passages(none).collect() == []
+    line = " ".join(f"word{k}" for k in range(20))  # lines, but no text long enough for a window
+    few = spark.createDataFrame([(1, line), (2, line), (3, "a b"), (4, None)], "doc_id long, text string").coalesce(1)
+    assert {(r["doc_id"], r["kind"], r["n"], r["removed"]) for r in passages.repeated_passages(few).collect()} == {(1, "line", 20, False), (2, "line", 20, True)}
 
 
 def test_stages_keep_columns_that_differ_in_case(spark):
