@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -94,6 +95,10 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+#: Where written() has put its tables.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Checkpoints go where spark.checkpoint.dir says; only if it's unset, on one machine, to a folder here."""
     sc = spark.sparkContext
@@ -124,4 +129,15 @@ def written(df: DataFrame) -> DataFrame:
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     sc._jvm.System.gc()
-    return spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)
+    out = spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)
+    _places[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() returned. For tables that nothing reads any more: all that was made of them
+    has been written or checkpointed itself, so that a lost executor asks for none of them again."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(_places.pop(table))
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)

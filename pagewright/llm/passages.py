@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_batches, pick, written
+from .common import ASCII_LOWER, discard, map_batches, pick, written
 from .components import components
 
 #: Paragraphs are lines of so many words and more. Words of a shingle, least Jaccard similarity, and the bands: of BANDS
@@ -219,6 +219,7 @@ def far_links(sets: DataFrame, least: float = SIMILAR, group: int = GROUP) -> Da
     deal = lambda many: F.pmod(F.xxhash64("content"), F.greatest(F.lit(1), F.ceil(many / group)).cast("long"))
     k = F.when(F.col("own").isNull(), deal(F.col("pool"))).otherwise(deal(F.col("sets")))
     placed = written(dealt.withColumn("block", F.xxhash64(F.coalesce("own", F.lit(0)), F.col("own").isNull(), k)).select("gram", "block", "own", "content", "part", "n", *SKETCH, "before"))
+    discard(at)
     blocks = placed.groupBy("gram", "block").agg(F.min("own").alias("own"))
     others = blocks.select(F.col("gram").alias("g2"), F.col("block").alias("block2"), F.col("own").alias("own2"))
     pairs = blocks.join(others, (F.col("gram") == F.col("g2")) & (F.col("block") <= F.col("block2")) & F.coalesce(F.col("own") != F.col("own2"), F.lit(True))).select("gram", "block", "block2")
@@ -232,7 +233,9 @@ def far_links(sets: DataFrame, least: float = SIMILAR, group: int = GROUP) -> Da
     met = left.join(right, (F.col("gram") == F.col("g2")) & (F.col("block2") == F.col("own2")) & (F.col("part") != F.col("part_y")) & once & may_be & ~F.arrays_overlap("before", "before_y"))
     met = met.select(F.least("content", "y").alias("a"), F.greatest("content", "y").alias("b"), F.least("part", "part_y").alias("part_a"), F.greatest("part", "part_y").alias("part_b"))
     grams = lambda c, g: sets.select(F.col("content").alias(c), F.col("grams").alias(g))
-    return met.join(grams("a", "p"), "a").join(grams("b", "q"), "b").where(similar("p", "q", least)).select("a", "b", "part_a", "part_b")
+    found = written(met.join(grams("a", "p"), "a").join(grams("b", "q"), "b").where(similar("p", "q", least)).select("a", "b", "part_a", "part_b"))
+    discard(placed)
+    return found
 
 
 def line_clusters(lines: DataFrame, unique: DataFrame, least: float = SIMILAR, group: int = GROUP) -> DataFrame:
@@ -257,10 +260,15 @@ def line_clusters(lines: DataFrame, unique: DataFrame, least: float = SIMILAR, g
     of = written(of)
     parted = of.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
     crowded = of.join(parted, "band").select("content", "part").distinct()
-    links = far_links(written(crowded.join(sets, "content")), least, group)
+    crowded = written(crowded.join(sets, "content"))
+    discard(sets, members)
+    links = far_links(crowded, least, group)
+    discard(crowded)
     over = components(links, "part_a", "part_b").select(F.col("node").alias("part"), F.col("component").alias("whole"))
     found = of.select("content", "part").distinct().join(over, "part", "left")
-    return found.select("content", F.coalesce("whole", "part").alias("cluster"))
+    found = written(found.select("content", F.coalesce("whole", "part").alias("cluster")))
+    discard(of, links)
+    return found
 
 
 def repeated_passages(docs: DataFrame, id_column: str = "doc_id", least: float = SIMILAR, line: int = LINE, window: int = WINDOW, among: int = AMONG, group: int = GROUP) -> DataFrame:
@@ -288,7 +296,9 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", least: float =
     of_lines = unique.select("content", "low", "high").join(found, "content", "left").withColumn("cluster", F.coalesce("cluster", "content"))
     clusters = of_lines.groupBy("cluster").agg(F.min("low").alias("cluster_doc"), F.max("high").alias("high")).where("cluster_doc < high").drop("high")
     line_of = written(of_lines.select("content", "cluster").join(clusters, "cluster"))
+    discard(unique, found)
     places = written(lines.select("_id", "start", "n", "content").join(line_of, "content").select("_id", F.lit("line").alias("kind"), "start", "n", "cluster", "cluster_doc").distinct())
+    discard(line_of)
 
     windows = every.where("not line")
     twice = windows.groupBy("content").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi")).where("lo < hi").select("content")
