@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from pagewright import rules
 
 from . import content as C
+from . import decide as D
 from . import extract as X
 from . import findings as N
+from . import report as P
 
 
 def signals(extracted: DataFrame) -> DataFrame:
@@ -41,6 +43,25 @@ def findings(pages: DataFrame) -> DataFrame:
     return N.in_order(N.from_signals(signals(extracted), rules.checks(pages.sparkSession), X.passages(extracted)))
 
 
+def report(pages: DataFrame, answers: DataFrame, focuses: DataFrame | None = None) -> DataFrame:
+    """All findings of pages (page_id, url, html), in order, with why and action: from signals, from answers (as
+    decide.ANSWERS; sections are `s` and their number, passages their number) and from focuses (findings.from_focus())."""
+    spark = pages.sparkSession
+    extracted = X.extract(pages).persist()
+    checks, passages, sections = rules.checks(spark), X.passages(extracted), X.sections(extracted)
+    section = F.concat(F.lit("s"), F.col("section_ord").cast("string"))
+    labels = sections.select("page_id", F.lit("section").alias("scope"), section.alias("ref_id"), F.col("heading").alias("label"))
+    held = passages.select("page_id", "passage_ord", "text", F.explode(F.array(section, F.col("passage_ord").cast("string"), F.lit("page"))).alias("ref_id"))
+    sure = D.confident(D.merged_chunks(answers))
+    streams = [
+        N.from_signals(signals(extracted), checks, passages), N.from_decisions(D.triggered(sure, labels, rules.triggers(spark)), checks, rules.subsumes(spark), held), N.from_messaging(P.messaging(answers), checks),
+        N.from_irrelevant(P.irrelevant_evidence(C.claims(C.eligible(passages, C.excluded_sections(C.section_texts(sections, passages)))), answers), checks, passages),
+        N.from_coverage(P.page_coverage(answers.where(F.col("question_id").isin(*rules.QUESTION_TEXTS))), checks, rules.question_texts(spark)),
+    ]
+    streams += [N.from_focus(focuses, checks)] if focuses is not None else []
+    return N.advised(N.united(*streams), rules.advice(spark))
+
+
 def page_summaries(pages: DataFrame) -> DataFrame:
     """page_id, url, title, topic terms, whether a link offers an action, and counts of findings."""
     extracted = X.extract(pages).persist()

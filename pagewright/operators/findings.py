@@ -6,8 +6,10 @@ confidence.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright import rules
@@ -35,6 +37,65 @@ def from_triggers(fired: DataFrame, checks: DataFrame) -> DataFrame:
     return told.select("page_id", F.concat_ws(":", "check_id", "ref_id").alias("finding_id"), "check_id", "module", "priority", "tier", F.when(F.col("scope") == "section", F.col("ref_id")).otherwise("page").alias("ref"), T.filled(F.col("observation"), slots).alias("observation"), F.array().cast("array<string>").alias("quotes"), T.banded(F.col("confidence")).alias("confidence"))
 
 
+def evidence(passages: DataFrame, least: int = 8, most: int = 2) -> DataFrame:
+    """page_id, ref_id, quotes: the first passages of each ref that have enough words, from page_id, ref_id, passage_ord, text.
+
+    What is cut to a quote must still have the words. Refs without such a passage have no row."""
+    said = passages.withColumn("quote", T.quote(F.col("text"))).where((F.size(F.split("quote", r"\s+")) >= least) & T.is_quoted(F.col("text"), F.col("quote")))
+    own = Window.partitionBy("page_id", "ref_id").orderBy("passage_ord")
+    first = said.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most)
+    return first.groupBy("page_id", "ref_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "quote"))), lambda x: x["quote"]).alias("quotes"))
+
+
+def from_decisions(fired: DataFrame, checks: DataFrame, subsumes: DataFrame, passages: DataFrame) -> DataFrame:
+    """from_triggers() with evidence() of their refs, without subsumed and repeated ones. No evidence, no finding."""
+    quoted = from_triggers(fired, checks).drop("quotes").withColumn("ref_id", F.substring_index("finding_id", ":", -1))
+    return first_of_evidence(without_subsumed(quoted.join(evidence(passages), ["page_id", "ref_id"]).drop("ref_id"), subsumes))
+
+
+def told(rows: DataFrame, checks: DataFrame, ident: Column, slots: dict[str, Column], quotes: Column | None = None) -> DataFrame:
+    """Findings of rows that have a check_id and a confidence; ident ends their ids, slots fill the checks' texts."""
+    none = F.array().cast("array<string>")
+    filled = T.filled(F.col("observation"), F.create_map(*[x for k, v in slots.items() for x in (F.lit(k), v.cast("string"))]) if slots else F.create_map().cast("map<string,string>"))
+    kept = rows.withColumns({"_ident": ident, "_quotes": none if quotes is None else quotes}).join(checks, "check_id")
+    return kept.select("page_id", F.concat_ws(":", "check_id", "_ident").alias("finding_id"), "check_id", "module", "priority", "tier", F.lit("page").alias("ref"), filled.alias("observation"), F.col("_quotes").alias("quotes"), "confidence")
+
+
+def from_messaging(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Findings of report.messaging()."""
+    return told(rows, checks, F.lit("page"), {})
+
+
+def from_irrelevant(rows: DataFrame, checks: DataFrame, passages: DataFrame) -> DataFrame:
+    """Findings of report.irrelevant_evidence(), with the claim's passage as quote; without the passage there is none."""
+    met = rows.join(passages.select("page_id", "passage_ord", "text"), ["page_id", "passage_ord"]).withColumn("check_id", F.lit("evidence_irrelevant"))
+    return told(met, checks, F.col("passage_ord").cast("string"), {"what": F.replace("claim", F.lit("_"), F.lit(" "))}, F.array(T.quote(F.col("text"))))
+
+
+def from_coverage(rows: DataFrame, checks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Findings of report.page_coverage(): questions that are raised and left open. texts: question_id, question."""
+    opened = rows.where("not answered").join(texts, "question_id").withColumns({"check_id": F.lit("question_raised_unanswered"), "confidence": F.lit("high")})
+    return told(opened, checks, F.col("question_id"), {"question": F.col("question")})
+
+
+def from_focus(rows: DataFrame, checks: DataFrame) -> DataFrame:
+    """Findings of a page's stated focuses (page_id, focus_id, focus, found) that the page doesn't convey."""
+    missed = rows.where("not found").withColumns({"check_id": F.lit("focus_not_communicated"), "confidence": F.lit("high")})
+    return told(missed, checks, F.col("focus_id"), {"focus": F.col("focus")})
+
+
+def united(*streams: DataFrame) -> DataFrame:
+    """All streams' findings in one order. No stream: ValueError."""
+    if not streams:
+        raise ValueError("no findings to unite")
+    return in_order(reduce(DataFrame.unionByName, streams))
+
+
+def advised(findings: DataFrame, advice: DataFrame) -> DataFrame:
+    """findings with why they matter and what to do; null where advice (check_id, why, action) has nothing."""
+    return findings.join(advice, "check_id", "left")
+
+
 def without_subsumed(findings: DataFrame, subsumes: DataFrame) -> DataFrame:
     """Findings but for those that another finding of the same page and ref makes superfluous."""
     losers = findings.select("page_id", "ref", F.col("check_id").alias("winner")).join(F.broadcast(subsumes), "winner").select("page_id", "ref", F.col("loser").alias("check_id")).distinct()

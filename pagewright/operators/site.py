@@ -6,6 +6,8 @@ answered (arrays of question ids, or null).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,37 @@ def focus_coverage(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("site", "focus_id").agg(F.count("*").alias("checked"), F.transform(F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("ord", "url")))), lambda x: x["url"]).alias("pages"))
 
 
+def site_findings(pages: DataFrame, checks: DataFrame, bank: DataFrame, texts: DataFrame, stages: DataFrame, focuses: DataFrame | None = None, audiences: DataFrame | None = None, share: float = STAGE_SHARE) -> DataFrame:
+    """Findings of sites: site, finding_id, check_id, module, priority, tier, observation.
+
+    From the counts of pages (see above), empty and crowded stages, questions that are raised and answered nowhere, pages that
+    compete, focuses (site, focus_id, focus, checked, pages) that no page conveys, and audiences (site, choice: confident
+    answers, drifting or none_evident). bank, texts and stages as rules.questions(), question_texts() and stage_texts().
+    """
+    rows: list[DataFrame] = []
+
+    def add(found: DataFrame, check, ident, **slots) -> None:
+        filled = F.create_map(*[x for k, v in slots.items() for x in (F.lit(k), v.cast("string"))]) if slots else F.create_map().cast("map<string,string>")
+        rows.append(found.select("site", check.alias("check_id"), ident.alias("ident"), filled.alias("slots")))
+
+    counts, signals, col = stage_counts(pages), site_signals(pages), F.col
+    add(site_checks(signals).join(signals, "site"), col("check_id"), F.lit("site"), named=col("named"), pages=col("pages"), count=col("without_action"), sell=col("sell"), explain=col("explain"))
+    add(stage_gaps(counts).join(stages, "stage"), F.lit("journey_stage_missing"), col("stage"), audience=col("whom"), cost=col("cost"))
+    add(stage_concentration(counts, share=share).join(stages, "stage"), F.lit("journey_concentrated"), F.lit("site"), stage=col("whom"))
+    opened = coverage(pages, bank).where("status = 'unanswered'").join(texts, "question_id")
+    add(opened, F.lit("question_unanswered_sitewide"), col("question_id"), question=col("question"), pages=F.size("pages"))
+    url = lambda c: pages.select("site", col("ord").alias(c), col("url").alias(f"url_{c}"))
+    pairs = overlaps(pages).join(url("a"), ["site", "a"]).join(url("b"), ["site", "b"])
+    add(pairs, F.lit("pages_compete"), F.concat_ws("|", "url_a", "url_b"), a=col("url_a"), b=col("url_b"), shared=F.array_join(F.slice("shared", 1, 4), ", "))
+    if focuses is not None:
+        add(focuses.where(F.size("pages") == 0), F.lit("focus_not_communicated_sitewide"), col("focus_id"), focus=col("focus"), checked=col("checked"))
+    if audiences is not None:
+        said = F.when(col("choice") == "drifting", "audience_drifts").when(col("choice") == "none_evident", "audience_none_evident")
+        add(audiences.where(said.isNotNull()), said, F.lit("site"))
+    told = reduce(DataFrame.unionByName, rows).join(checks, "check_id")
+    return told.select("site", F.concat_ws(":", "check_id", "ident").alias("finding_id"), "check_id", "module", "priority", "tier", T.filled(col("observation"), col("slots")).alias("observation"))
+
+
 def opportunities(findings: DataFrame, bank: DataFrame, single_page: bool = False, most: int = JOBS) -> DataFrame:
     """The plan: site, job_id, kind, tier, pages, findings, nth, from site, finding_id, check_id, module and page.
 

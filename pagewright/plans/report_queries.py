@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright import rules
 from pagewright.functions import text as T
 from pagewright.operators import content as C
+from pagewright.operators import extract as X
+from pagewright.operators import findings as N
 from pagewright.operators import report as P
 
-from .page_queries import CLAIMS, SECTION_TEXTS, section_texts
-from .registry import query
+from .page_queries import CLAIMS, SECTION_TEXTS, STRUCTURE, TIERS, section_texts, structure
+from .registry import SQL, query
 from .text_queries import FAMILIES, HYPE, LEXICON, PROOF
-from .views import HOST, LINES, digit, lines, sql_digit, table
+from .views import HOST, LINES, digit, extracted, lines, sql_digit, sql_rows, table
 
 S = SparkSession
 KINDS = (*P.FIXES, "unknown")
@@ -146,3 +149,15 @@ def a22_run_statistics(spark: S, d: str) -> DataFrame:
     return e.groupBy("provider").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.bool_or("degraded").alias("degraded"), first.alias("model"))
 
 
+@query(f"""WITH s AS ({STRUCTURE}), m AS ({SQL["d12_messaging"]}), c AS ({SQL["d13_page_coverage"]}), f AS (
+  SELECT page_id, check_id, 'high' AS confidence, check_id AS finding_id FROM s UNION ALL SELECT page_id, check_id, confidence, check_id FROM m
+  UNION ALL SELECT page_id, 'question_raised_unanswered', 'high', 'question_raised_unanswered:' || question_id FROM c WHERE NOT answered
+), n AS (SELECT *, {TIERS} AS tier, count(*) OVER (PARTITION BY page_id, check_id) AS occurrences, list_position(['high', 'medium', 'low'], confidence) AS sure FROM f)
+SELECT page_id, check_id, confidence, occurrences, row_number() OVER (PARTITION BY page_id ORDER BY tier, occurrences DESC, sure, check_id, finding_id) AS place, a.why, a.action
+FROM n JOIN (VALUES {sql_rows((k, *v) for k, v in rules.ADVICE.items())}) a(check_id, why, action) USING (check_id)""")
+def u01_findings_union(spark: S, d: str) -> DataFrame:
+    checks = rules.checks(spark)
+    static = N.from_signals(structure(spark, d), checks, X.passages(extracted(spark, d)))
+    coverage = N.from_coverage(d13_page_coverage(spark, d), checks, rules.question_texts(spark))
+    found = N.advised(N.united(static, N.from_messaging(d12_messaging(spark, d), checks), coverage), rules.advice(spark))
+    return found.select("page_id", "check_id", "confidence", "occurrences", F.col("place").cast("long").alias("place"), "why", "action")

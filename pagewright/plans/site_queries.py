@@ -13,8 +13,8 @@ from pagewright.operators import decide as D
 from pagewright.operators import findings as N
 from pagewright.operators import site as R
 
-from .registry import query
-from .views import ANSWERS, HOST, SUMMARIES, TURN_SECTIONS, answers, digit, sql_digit, summaries, table, turn_sections
+from .registry import SQL, query
+from .views import ANSWERS, HOST, SUMMARIES, TURN_SECTIONS, TURNS, answers, digit, sql_digit, sql_rows, summaries, table, turn_sections, turns
 
 S = SparkSession
 
@@ -255,8 +255,38 @@ def u05_difference(spark: S, d: str) -> DataFrame:
     return table(spark, d, "part").join(few, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
-@query("SELECT event_type, count(*) AS n, count(props) AS with_props, sum(length(props))::BIGINT AS chars FROM events GROUP BY event_type")
-def u01_events_union(spark: S, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    halves = e.where("event_id % 2 = 0").unionByName(e.where("event_id % 2 = 1"))
-    return halves.groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"), F.sum(F.length("props")).alias("chars"))
+def sql_told(check: str, **slots: str) -> str:
+    """A check's text as SQL, its slots replaced."""
+    out = "'" + next(c[4] for c in rules.CHECKS if c[0] == check).replace("'", "''") + "'"
+    for k, v in slots.items():
+        out = f"replace({out}, '{{{k}}}', ({v})::VARCHAR)"
+    return out
+
+
+STAGE_ROWS = f"stages(stage, whom, cost) AS (VALUES {sql_rows((k, *v) for k, v in rules.STAGE_TEXTS.items())})"
+SITE_COUNTS = ("audience_rarely_named", "site_has_no_next_step", "site_sells_without_explaining")
+
+
+@query(f"""WITH {STAGE_ROWS}, texts(question_id, question) AS (VALUES {sql_rows(rules.QUESTION_TEXTS.items())}), f AS (
+  SELECT c.site, check_id, 'site' AS ident, CASE {' '.join(f"WHEN check_id = '{c}' THEN {sql_told(c, named='named', pages='pages', count='without_action', sell='sell', explain='explain')}" for c in SITE_COUNTS)} END AS observation FROM ({SQL['a15_site_checks']}) c JOIN ({SQL['a11_site_signals']}) s USING (site)
+  UNION ALL SELECT site, 'journey_stage_missing', stage, {sql_told('journey_stage_missing', audience='whom', cost='cost')} FROM ({SQL['a13_stage_gaps']}) JOIN stages USING (stage)
+  UNION ALL SELECT site, 'journey_concentrated', 'site', {sql_told('journey_concentrated', stage='whom')} FROM ({SQL['a14_stage_concentration']}) JOIN stages USING (stage)
+  UNION ALL SELECT site, 'question_unanswered_sitewide', question_id, {sql_told('question_unanswered_sitewide', question='question', pages="len(string_split(pages, ' '))")} FROM ({SQL['a16_coverage']}) JOIN texts USING (question_id) WHERE status = 'unanswered'
+  UNION ALL SELECT o.site, 'pages_compete', p.url || '|' || q.url, {sql_told('pages_compete', a='p.url', b='q.url', shared="array_to_string(string_split(shared, ',')[:4], ', ')")} FROM ({SQL['j12_o03_overlaps']}) o JOIN pages p ON p.page_id = o.a JOIN pages q ON q.page_id = o.b
+) SELECT site, check_id || ':' || ident AS finding_id, check_id, observation FROM f""")
+def d18_site_findings(spark: S, d: str) -> DataFrame:
+    """With the share of 0.3 for crowded stages, as a14."""
+    found = R.site_findings(summaries(spark, d), rules.checks(spark), rules.questions(spark), rules.question_texts(spark), rules.stage_texts(spark), share=0.3)
+    return found.select("site", "finding_id", "check_id", "observation")
+
+
+@query(f"""WITH {FIRED}, {TURNS}, s(winner, loser) AS (VALUES {', '.join(str(x) for x in rules.SUBSUMES)}), said AS (
+  SELECT page_id, section_ord::VARCHAR AS ref_id, passage_ord, CASE WHEN length(text) > 240 THEN rtrim(text[:240]) || '…' ELSE text END AS quote FROM raw_turns
+), e AS (SELECT page_id, ref_id, list(quote ORDER BY passage_ord)[:2] AS quotes FROM said WHERE len(string_split_regex(quote, '\\s+')) >= 8 GROUP BY ALL), held AS (SELECT * FROM fired JOIN e USING (page_id, ref_id))
+SELECT page_id, check_id || ':' || ref_id AS finding_id, len(quotes) AS n_quotes, quotes[1] AS first_quote FROM held f
+WHERE NOT EXISTS (SELECT 1 FROM held w JOIN s ON w.check_id = winner WHERE w.page_id = f.page_id AND w.ref_id = f.ref_id AND loser = f.check_id)
+QUALIFY row_number() OVER (PARTITION BY page_id, check_id, quotes[1] ORDER BY check_id || ':' || ref_id) = 1""")
+def d10_u02_u03_quoted_decisions(spark: S, d: str) -> DataFrame:
+    held = turns(spark, d).withColumn("ref_id", F.col("section_ord").cast("string"))
+    found = N.from_decisions(fired(spark, d), rules.checks(spark), rules.subsumes(spark), held)
+    return found.select("page_id", "finding_id", F.size("quotes").alias("n_quotes"), F.get("quotes", F.lit(0)).alias("first_quote"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,11 @@ def sql_digit(c: str, nth: int) -> str:
     return f"(strpos('0123456789abcdef', substr(md5(({c})::VARCHAR), {nth}, 1)) - 1)"
 
 
+def sql_rows(rows: Iterable[tuple[str, ...]]) -> str:
+    """Rows of strings as SQL's VALUES has them."""
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "://([^/?#]*)", 1))
 

@@ -248,3 +248,52 @@ def test_entities_without_a_semicolon_stay():
     row = extract.read_page("<title>a &amp b &amp; c</title>\n<p>x &#38 y &#38; z</p>\n<h1>&amp</h1>", "https://e.com/")
     assert row["title"] == "a &amp b & c"
     assert "x &#38 y & z" in str(row["passages"]) and row["headings"][0][1] == "&amp"
+
+
+def test_a_whole_report(spark):
+    long = "This section says a good many words in a row without ever telling anyone what it costs."
+    html = page(f"<h1>Things for teams</h1><p>{long}</p><h2>How much does it cost?</h2><p>{long} Really.</p><p>Too short.</p><h2>How do I pay for it?</h2><p>{long} Really.</p>")
+    pages = spark.createDataFrame([(1, "https://e.com/a", html), (2, "https://e.com/b", page("<p>Nothing much.</p>"))], "page_id long, url string, html string")
+    sections = {r["heading"]: f"s{r['section_ord']}" for r in extract.sections(extract.extract(pages)).where("page_id = 1").collect()}
+    cost, pay = sections["How much does it cost?"], sections["How do I pay for it?"]
+    rows = [
+        (1, "section", cost, "extraction_readiness", "choice", None, "absent", None, 4, 0.9), (1, "section", cost, "answers_heading", "noul", 0.0, None, None, 2, None), (1, "section", pay, "extraction_readiness", "choice", None, "absent", None, 4, 0.9),
+        (2, "section", "s0", "self_contained", "noul", 0.0, None, None, 2, None), (1, "page", "page", "states_the_problem", "noul", 0.1, None, None, 2, None), (1, "page", "page", "names_the_audience", "noul", 0.45, None, None, 2, None),
+        (1, "page", "page", "q_support", "choice", None, "mentions_only", None, 3, 0.9), (1, "page", "page", "q_free_tier", "choice", None, "answers_it", None, 3, 0.9),
+    ]
+    focuses = spark.createDataFrame([(1, "f1", "it is cheap", False), (1, "f2", "it is for teams", True)], "page_id long, focus_id string, focus string, found boolean")
+    found = audit.report(pages, spark.createDataFrame(rows, decide.ANSWERS), focuses).collect()
+    by_check = {f["check_id"]: f for f in found if f["page_id"] == 1}
+    # The same words stand in both sections: one finding, with the evidence of 8 words and more; the weaker check is subsumed.
+    absent = [f for f in found if f["check_id"] == "answer_absent"]
+    assert len(absent) == 1 and absent[0]["quotes"] == [f"{long} Really."] and absent[0]["ref"] == min(cost, pay)
+    assert "heading_not_answered" not in by_check and "audience_not_named" not in by_check
+    # No passage of 8 words on page 2: no finding without evidence.
+    assert not [f for f in found if f["page_id"] == 2 and f["check_id"] == "not_self_contained"]
+    assert by_check["no_problem_stated"]["confidence"] == "medium" and by_check["no_problem_stated"]["quotes"] == []
+    assert by_check["question_raised_unanswered"]["finding_id"] == "question_raised_unanswered:q_support" and "Who helps me?" in by_check["question_raised_unanswered"]["observation"]
+    assert by_check["focus_not_communicated"]["observation"] == "The page does not convey “it is cheap”." and len([f for f in found if f["check_id"] == "focus_not_communicated"]) == 1
+    assert all(f["why"] and f["action"] and "{" not in f["observation"] for f in found)
+    of_one = sorted((f for f in found if f["page_id"] == 1), key=lambda f: f["place"])
+    assert [f["place"] for f in of_one] == list(range(1, len(of_one) + 1)) and [f["tier"] for f in of_one] == sorted(f["tier"] for f in of_one)
+    nobody = audit.report(pages, spark.createDataFrame([], decide.ANSWERS)).collect()
+    assert {f["finding_id"] for f in nobody} == {f["finding_id"] for f in audit.findings(pages).collect()}
+
+
+def test_support_beside_the_point(spark):
+    passages = spark.createDataFrame([(1, 3, "It is the fastest.")], "page_id long, passage_ord int, text string")
+    rows = spark.createDataFrame([(1, 3, "speed_claim", "high"), (1, 9, "speed_claim", "high")], "page_id long, passage_ord int, claim string, confidence string")
+    [f] = findings.from_irrelevant(rows, rules.checks(spark), passages).collect()
+    assert f["finding_id"] == "evidence_irrelevant:3" and f["quotes"] == ["It is the fastest."] and "speed claim" in f["observation"]
+
+
+def test_site_findings_of_focuses_and_audiences(spark):
+    kinds = "site string, ord int, url string, purpose string, business_type string, terms array<string>, audience_named boolean, has_action boolean, stage string, raised array<string>, answered array<string>"
+    pages = spark.createDataFrame([("e.com", 0, "https://e.com/", "explain", "saas", ["a"], True, True, "awareness", ["q_support"], None)], kinds)
+    focuses = spark.createDataFrame([("e.com", "f1", "it is cheap", 4, []), ("e.com", "f2", "it is good", 4, ["https://e.com/"])], "site string, focus_id string, focus string, checked long, pages array<string>")
+    audiences = spark.createDataFrame([("e.com", "drifting"), ("f.com", "consistent")], "site string, choice string")
+    tables = rules.checks(spark), rules.questions(spark), rules.question_texts(spark), rules.stage_texts(spark)
+    found = {f["finding_id"]: f["observation"] for f in site.site_findings(pages, *tables, focuses, audiences).collect()}
+    assert set(found) == {"question_unanswered_sitewide:q_support", "focus_not_communicated_sitewide:f1", "audience_drifts:site"}
+    assert found["focus_not_communicated_sitewide:f1"] == "None of 4 pages conveys “it is cheap”."
+    assert site.site_findings(pages.limit(0), *tables).collect() == []

@@ -66,5 +66,6 @@ def test_rule_tables_are_complete():
     assert len(ids) == len(set(ids)) == 48
     assert {t[0] for t in rules.TRIGGERS} <= set(ids) and {x for s in rules.SUBSUMES for x in s} <= set(ids)
     assert set(rules.RECURRING) | set(rules.SITE_LEVEL) <= set(ids)
+    assert set(rules.ADVICE) == set(ids) and set(rules.QUESTION_TEXTS) == {q[0] for q in rules.QUESTIONS} and set(rules.STAGE_TEXTS) == set(rules.STAGES)
     assert len(rules.QUESTIONS) == 15 and len({q[1] for q in rules.QUESTIONS}) == 10
     assert all(c[3] in range(5) and c[2] in ("high", "medium", "low") for c in rules.CHECKS)
