@@ -69,7 +69,7 @@ def from_messaging(rows: DataFrame, checks: DataFrame) -> DataFrame:
 def from_irrelevant(rows: DataFrame, checks: DataFrame, passages: DataFrame) -> DataFrame:
     """Findings of report.irrelevant_evidence(), with the claim's passage as quote; without the passage there is none."""
     met = rows.join(passages.select("page_id", "passage_ord", "text"), ["page_id", "passage_ord"]).withColumn("check_id", F.lit("evidence_irrelevant"))
-    return told(met, checks, F.col("passage_ord").cast("string"), {"what": F.replace("claim", F.lit("_"), F.lit(" "))}, F.array(T.quote(F.col("text"))))
+    return told(met, checks, F.col("passage_ord").cast("string"), {"what": F.coalesce(T.claim_subject(F.col("claim")), F.col("claim"))}, F.array(T.quote(F.col("text"))))
 
 
 def from_coverage(rows: DataFrame, checks: DataFrame, texts: DataFrame) -> DataFrame:

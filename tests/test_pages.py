@@ -282,9 +282,9 @@ def test_a_whole_report(spark):
 
 def test_support_beside_the_point(spark):
     passages = spark.createDataFrame([(1, 3, "It is the fastest.")], "page_id long, passage_ord int, text string")
-    rows = spark.createDataFrame([(1, 3, "speed_claim", "high"), (1, 9, "speed_claim", "high")], "page_id long, passage_ord int, claim string, confidence string")
+    rows = spark.createDataFrame([(1, 3, "performance", "high"), (1, 9, "performance", "high")], "page_id long, passage_ord int, claim string, confidence string")
     [f] = findings.from_irrelevant(rows, rules.checks(spark), passages).collect()
-    assert f["finding_id"] == "evidence_irrelevant:3" and f["quotes"] == ["It is the fastest."] and "speed claim" in f["observation"]
+    assert f["finding_id"] == "evidence_irrelevant:3" and f["quotes"] == ["It is the fastest."] and "about how fast it is" in f["observation"]
 
 
 def test_site_findings_of_focuses_and_audiences(spark):
