@@ -114,11 +114,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, tidy: bool = True) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder and read again; the files go when the session ends.
 
     Columns are stored by position, so that names that differ in case only do no harm. Shuffle files of what made df are
-    deleted once the driver's JVM has collected its plan, which is asked for here.
+    deleted once the driver's JVM has collected its plan, which is asked for here; tidy=False, for many small tables: not here.
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
@@ -128,7 +128,8 @@ def written(df: DataFrame) -> DataFrame:
     stored.write.parquet(path)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    sc._jvm.System.gc()
+    if tidy:
+        sc._jvm.System.gc()
     out = spark.read.schema(stored.schema).parquet(path).toDF(*df.columns)
     _places[out] = path
     return out

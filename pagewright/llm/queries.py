@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, passages, quality, secrets, simhash, telephony, toxicity, urls
+from . import binpack, bpe, infill, interaction, langid, mixing, passages, quality, secrets, simhash, telephony, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.filter_orders(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package, which doesn't need it
 
@@ -60,9 +72,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op4_passages, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_telephony, op3_secrets, op4_passages, op5_mix_sources, op6_bpe, op7_language, op8_simhash, op9_quality, op10_url_filter, op11_fill_in_middle, op12_pack_sequences, op13_filter_orders, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The pipeline's SQL, if there is any, is corpus_pipeline.ORACLE_SQL."""
-    return {"op10_url_filter": urls.SQL}
+    return {"op10_url_filter": urls.SQL, "op11_fill_in_middle": infill.SQL, "op13_filter_orders": interaction.SQL}
