@@ -95,6 +95,8 @@ def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+#: Deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where written() has put its tables.
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -118,14 +120,23 @@ def written(df: DataFrame, tidy: bool = True) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder and read again; the files go when the session ends.
 
     Columns are stored by position, so that names that differ in case only do no harm. Shuffle files of what made df are
-    deleted once the driver's JVM has collected its plan, which is asked for here; tidy=False, for many small tables: not here.
+    deleted as soon as it is written: nothing reads them any more. Those of jobs before go once the driver's JVM has collected
+    their plans, which is asked for here; tidy=False, for many small tables: not here.
     """
     spark = df.sparkSession
     shared_checkpoints(spark)
     sc = spark.sparkContext
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     stored = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-    stored.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        stored.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     if tidy:
