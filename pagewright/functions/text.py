@@ -6,6 +6,7 @@ Lengths count code points. Word boundaries are ASCII, as the rules are written f
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,12 @@ STEM = r"(ing|ed|es|s)$"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: what is written out again and again in an expression
+    is planned and evaluated as often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def bounded(pattern: str) -> str:
     r"""A case-insensitive pattern in which \b is an ASCII word boundary."""
     return "(?i)" + pattern.replace(r"\b", EDGE)

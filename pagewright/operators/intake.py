@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import let
+
 BLOCKED_NAMES = ("localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "metadata.google.internal")
 BLOCKED_SUFFIXES = (".local", ".internal", ".localhost", ".home.arpa", ".onion")
 ASSET = r"(?i)\.(jpe?g|png|gif|webp|svg|pdf|zip|mp4|mp3|css|js|xml|json)(\?|$)"
@@ -26,16 +28,17 @@ def parts(url: Column) -> dict[str, Column]:
 
 def ipv4(host: Column) -> Column:
     """The number of an IPv4 host in any spelling: one to four parts, each decimal, octal or hex; null for other hosts."""
-    ps = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
     number = lambda p: F.when(p.rlike("^0[xX][0-9a-fA-F]{1,12}$"), F.conv(F.substring(p, F.lit(3), F.length(p)), 16, 10)).when(p.rlike("^0[0-7]{1,15}$"), F.conv(p, 8, 10)).when(p.rlike(r"^\d{1,15}$"), p).cast("long")
-    nums = F.transform(ps, number)
-    n = F.size(ps)
-    heads = F.slice(nums, 1, F.greatest(n - 1, F.lit(0)))
-    last = F.element_at(nums, -1)
-    room = F.element_at(F.array(*[F.lit(256**k).cast("long") for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
-    valid = (n <= 4) & F.forall(nums, lambda x: x.isNotNull()) & F.forall(heads, lambda x: x < 256) & (last < room)
-    top = F.aggregate(heads, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    return F.when(F.coalesce(valid, F.lit(False)), top * room + last)
+
+    def whole(nums: Column) -> Column:
+        n = F.size(nums)
+        heads = F.slice(nums, F.lit(1), F.greatest(n - 1, F.lit(0)))
+        last = F.element_at(nums, -1)
+        room = F.element_at(F.array(*[F.lit(256**k).cast("long") for k in (4, 3, 2, 1)]), F.least(n, F.lit(4)))
+        valid = (n <= 4) & F.forall(nums, lambda x: x.isNotNull()) & F.forall(heads, lambda x: x < 256) & (last < room)
+        return F.when(F.coalesce(valid, F.lit(False)), F.aggregate(heads, F.lit(0).cast("long"), lambda a, x: a * 256 + x) * room + last)
+
+    return let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number), whole)
 
 
 def is_private(number: Column) -> Column:
@@ -45,16 +48,22 @@ def is_private(number: Column) -> Column:
 
 def refusal(url: Column) -> Column:
     """Why an address may not be fetched: empty, scheme, credentials, host, suffix, ip_private, ip or ipv6; null if it may."""
-    p = parts(url)
-    host = F.regexp_replace(p["host"], r"\.$", "")
-    number = ipv4(host)
-    suffix = F.lit(False)
-    for s in BLOCKED_SUFFIXES:
-        suffix = suffix | host.endswith(s)
-    return (
-        F.when(F.coalesce(F.trim(url), F.lit("")) == "", "empty").when(~p["scheme"].isin("http", "https"), "scheme").when(p["user"] != "", "credentials").when(host == "", "empty")
-        .when(host.isin(*BLOCKED_NAMES), "host").when(suffix, "suffix").when(host.startswith("["), "ipv6").when(is_private(number), "ip_private").when(number.isNotNull(), "ip")
-    )
+
+    def why(p: Column) -> Column:
+        host, number = p["bare"], p["number"]
+        suffix = host.rlike("(" + "|".join(x.replace(".", r"\.") for x in BLOCKED_SUFFIXES) + ")$")
+        return (
+            F.when(p["t"] == "", "empty").when(~p["scheme"].isin("http", "https"), "scheme").when(p["user"] != "", "credentials").when(host == "", "empty")
+            .when(host.isin(*BLOCKED_NAMES), "host").when(suffix, "suffix").when(host.startswith("["), "ipv6").when(is_private(number), "ip_private").when(number.isNotNull(), "ip")
+        )
+
+    def judged(t: Column) -> Column:
+        p = parts(t)
+        bare = F.regexp_replace(p["host"], r"\.$", "")
+        known = F.struct(t.alias("t"), p["scheme"].alias("scheme"), p["user"].alias("user"), bare.alias("bare"))
+        return let(known, lambda k: let(F.struct(k["t"].alias("t"), k["scheme"].alias("scheme"), k["user"].alias("user"), k["bare"].alias("bare"), ipv4(k["bare"]).alias("number")), why))
+
+    return let(F.coalesce(F.trim(url), F.lit("")), judged)
 
 
 def normalized(url: Column) -> Column:
