@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from pagewright import rules
 
+from .match import whole_terms
+
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 STEM = r"(ing|ed|es|s)$"
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'-]*"
@@ -120,16 +122,9 @@ def evidence_kinds(s: Column, evidence=rules.EVIDENCE) -> Column:
     return F.filter(F.array(*[F.when(s.rlike(bounded(p)), k) for k, p in evidence]), lambda k: k.isNotNull())
 
 
-def has_hype(s: Column, terms: list[tuple[str, str]] | None = None) -> Column:
-    """Whether the text has a term of the lexicon: all terms in one pattern."""
-    every = sorted((t for t, _ in (rules.hype() if terms is None else terms)), key=len, reverse=True)
-    return F.lower(s).rlike(rf"(?<![\p{{L}}-])(?:{'|'.join(map(re.escape, every))})(?![\p{{L}}-])")
-
-
 def hype_density(s: Column, terms: list[tuple[str, str]] | None = None) -> Column:
     """Terms of the lexicon a hundred words."""
-    found = F.when(has_hype(s, terms), F.size(hype_terms(s, terms, 100))).otherwise(0)
-    return F.lit(100.0) * found / words(s)
+    return F.lit(100.0) * F.size(hype_terms(s, terms, 100)) / words(s)
 
 
 def highlighted(s: Column, terms: tuple[str, ...]) -> Column:
@@ -139,17 +134,9 @@ def highlighted(s: Column, terms: tuple[str, ...]) -> Column:
 
 
 def hype_terms(s: Column, terms: list[tuple[str, str]] | None = None, limit: int = 6) -> Column:
-    """Terms of the lexicon in the order in which they stand, as structs of at (from 1), term and kind.
-
-    Longer terms are looked for first, each at its first place that no letter or hyphen flanks; one within a character of
-    a place already taken is left out.
-    """
-    terms = rules.hype() if terms is None else terms
-    low = F.lower(s)
-    found = F.array(*[F.struct(F.regexp_instr(low, F.lit(rf"(?<![\p{{L}}-]){re.escape(t)}(?![\p{{L}}-])")).alias("at"), F.lit(t).alias("term"), F.lit(g).alias("kind")) for t, g in terms])
-    none = F.slice(found, 1, 0)
-    kept = F.aggregate(F.filter(found, lambda x: x["at"] > 0), none, lambda out, x: F.when(F.exists(out, lambda o: F.abs(o["at"] - x["at"]) < 2), out).otherwise(F.concat(out, F.array(x))))
-    return F.slice(F.array_sort(kept), 1, limit)
+    """Terms of the lexicon in the order in which they stand, as structs of at (from 1), term and kind: longer ones first where
+    they meet; see match.whole_terms()."""
+    return whole_terms(F.lower(s), tuple(rules.hype() if terms is None else terms), limit)
 
 
 def quote(s: Column, most: int = 240) -> Column:
@@ -177,6 +164,11 @@ def banded(confidence: Column) -> Column:
     return F.when(confidence >= 0.85, "high").when(confidence >= 0.65, "medium").otherwise("low")
 
 
+def page_band(confidence: Column) -> Column:
+    """The band of an answer about a whole page that passed the gate: high or medium."""
+    return F.when(confidence >= 0.85, "high").otherwise("medium")
+
+
 def tier(check: Column) -> Column:
     """Impact tier of a check; 4 where none is given."""
     out = F.lit(4)

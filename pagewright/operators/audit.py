@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright import rules
+from pagewright.functions import text as T
+from pagewright.sources.held import held
 
 from . import content as C
 from . import decide as D
@@ -39,22 +41,25 @@ def buried(sections: DataFrame, eligible: DataFrame) -> DataFrame:
 
 def findings(pages: DataFrame) -> DataFrame:
     """Findings of pages (page_id, url, html), each with its place in its page's order."""
-    extracted = X.extract(pages).persist()
+    extracted = held(X.extract(pages))
     return N.in_order(N.from_signals(signals(extracted), rules.checks(pages.sparkSession), X.passages(extracted)))
 
 
 def report(pages: DataFrame, answers: DataFrame, focuses: DataFrame | None = None) -> DataFrame:
     """All findings of pages (page_id, url, html), in order, with why and action: from signals, from answers (as
-    decide.ANSWERS; sections are `s` and their number, passages their number) and from focuses (findings.from_focus())."""
+    decide.ANSWERS; sections are `s` and their number, passages their number) and from focuses (findings.from_focus()).
+
+    A passage of which an answer surely says that it is no claim isn't judged as one (decide.of_claims()).
+    """
     spark = pages.sparkSession
-    extracted = X.extract(pages).persist()
+    extracted = held(X.extract(pages))
     checks, passages, sections = rules.checks(spark), X.passages(extracted), X.sections(extracted)
     section = F.concat(F.lit("s"), F.col("section_ord").cast("string"))
     labels = sections.select("page_id", F.lit("section").alias("scope"), section.alias("ref_id"), F.col("heading").alias("label"))
-    held = passages.select("page_id", "passage_ord", "text", F.explode(F.array(section, F.col("passage_ord").cast("string"), F.lit("page"))).alias("ref_id"))
-    sure = D.confident(D.merged_chunks(answers))
+    quotable = passages.select("page_id", "passage_ord", "text", F.explode(F.array(section, F.col("passage_ord").cast("string"), F.lit("page"))).alias("ref_id"))
+    sure = D.of_claims(D.confident(D.merged_chunks(answers)))
     streams = [
-        N.from_signals(signals(extracted), checks, passages), N.from_decisions(D.triggered(sure, labels, rules.triggers(spark)), checks, rules.subsumes(spark), held), N.from_messaging(P.messaging(answers), checks),
+        N.from_signals(signals(extracted), checks, passages), N.from_decisions(D.triggered(sure, labels, rules.triggers(spark)), checks, rules.subsumes(spark), quotable), N.from_messaging(P.messaging(answers), checks),
         N.from_irrelevant(P.irrelevant_evidence(C.claims(C.eligible(passages, C.excluded_sections(C.section_texts(sections, passages)))), answers), checks, passages),
         N.from_coverage(P.page_coverage(answers.where(F.col("question_id").isin(*rules.QUESTION_TEXTS))), checks, rules.question_texts(spark)),
     ]
@@ -62,9 +67,19 @@ def report(pages: DataFrame, answers: DataFrame, focuses: DataFrame | None = Non
     return N.advised(N.united(*streams), rules.advice(spark))
 
 
+def suggestions(pages: DataFrame, answers: DataFrame, limit: int = 3) -> DataFrame:
+    """What to do about passages that are claims: page_id, passage_ord, improvement_type (of the passage's own answer, else of
+    its section's) and suggestion, for passages that answers speak of and that aren't surely no claims."""
+    extracted = held(X.extract(pages))
+    spoken = D.improvements(D.of_claims(D.confident(D.merged_chunks(answers))), X.passages(extracted))
+    met = spoken.join(X.passages(extracted).select("page_id", "passage_ord", "text"), ["page_id", "passage_ord"])
+    terms = met.withColumn("terms", F.transform(T.hype_terms(F.col("text"), None, limit), lambda x: x["term"]))
+    return terms.select("page_id", "passage_ord", "improvement_type", P.suggestion(F.col("terms"), F.coalesce("improvement_type", F.lit(""))).alias("suggestion"))
+
+
 def page_summaries(pages: DataFrame) -> DataFrame:
     """page_id, url, title, topic terms, whether a link offers an action, and counts of findings."""
-    extracted = X.extract(pages).persist()
+    extracted = held(X.extract(pages))
     docs = X.docs(extracted)
     acts = C.ctas(X.links(extracted)).groupBy("page_id").agg(F.max((F.coalesce("cta", F.lit("")) == "action").cast("int")).alias("acts"))
     counts = N.summary(N.from_signals(signals(extracted), rules.checks(pages.sparkSession), X.passages(extracted))).select("page_id", F.col("n").alias("findings"), "high")

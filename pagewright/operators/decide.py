@@ -99,3 +99,20 @@ def agreement(expected: DataFrame, answers: DataFrame, bar: float = 0.6) -> Data
     said = F.when(sure >= bar, F.col("noul") >= 0.5)
     right = said.eqNullSafe(F.col("expect"))
     return met.groupBy("question_id").agg(F.count("*").alias("n"), F.count_if(right).alias("agreed"), F.count_if(said & F.coalesce(~F.col("expect"), F.lit(True))).alias("false_positives"), F.count_if(~right & (sure >= 0.85)).alias("overconfident"))
+
+
+def of_claims(sure: DataFrame) -> DataFrame:
+    """Confident answers but for those to passages of which one of them says that they are no claims."""
+    no = sure.where("scope = 'passage' AND question_id = 'is_claim' AND noul < 0.5").select("page_id", "scope", "ref_id").distinct()
+    return sure.join(no, ["page_id", "scope", "ref_id"], "left_anti")
+
+
+def improvements(sure: DataFrame, passages: DataFrame) -> DataFrame:
+    """page_id, passage_ord and improvement_type of each passage that confident answers speak of: what they say of its section,
+    else of the passage itself; null where they say neither."""
+    said = sure.where("scope = 'passage'").select("page_id", F.col("ref_id").cast("int").alias("passage_ord"), F.when(F.col("question_id") == "improvement_type", F.col("choice")).alias("own"))
+    own = said.groupBy("page_id", "passage_ord").agg(F.max("own").alias("own"))
+    kind = sure.where("scope = 'section' AND question_id = 'improvement_type'").select("page_id", F.substring(F.split_part("ref_id", F.lit("#"), F.lit(1)), 2, 9).cast("int").alias("section_ord"), F.col("choice").alias("of_section"))
+    kind = kind.groupBy("page_id", "section_ord").agg(F.max("of_section").alias("of_section"))
+    placed = own.join(passages.select("page_id", "passage_ord", "section_ord"), ["page_id", "passage_ord"])
+    return placed.join(kind, ["page_id", "section_ord"], "left").select("page_id", "passage_ord", F.coalesce("of_section", "own").alias("improvement_type"))

@@ -74,13 +74,13 @@ def from_irrelevant(rows: DataFrame, checks: DataFrame, passages: DataFrame) ->
 
 def from_coverage(rows: DataFrame, checks: DataFrame, texts: DataFrame) -> DataFrame:
     """Findings of report.page_coverage(): questions that are raised and left open. texts: question_id, question."""
-    opened = rows.where("not answered").join(texts, "question_id").withColumns({"check_id": F.lit("question_raised_unanswered"), "confidence": F.lit("high")})
+    opened = rows.where("not answered").join(texts, "question_id").withColumn("check_id", F.lit("question_raised_unanswered"))
     return told(opened, checks, F.col("question_id"), {"question": F.col("question")})
 
 
 def from_focus(rows: DataFrame, checks: DataFrame) -> DataFrame:
-    """Findings of a page's stated focuses (page_id, focus_id, focus, found) that the page doesn't convey."""
-    missed = rows.where("not found").withColumns({"check_id": F.lit("focus_not_communicated"), "confidence": F.lit("high")})
+    """Findings of a page's stated focuses (page_id, focus_id, focus, found, confidence: the answer's) that it doesn't convey."""
+    missed = rows.where("not found").withColumns({"check_id": F.lit("focus_not_communicated"), "confidence": T.page_band(F.col("confidence"))})
     return told(missed, checks, F.col("focus_id"), {"focus": F.col("focus")})
 
 

@@ -143,7 +143,7 @@ def claim_states(claims: DataFrame, passages: DataFrame) -> DataFrame:
 
 def irrelevant_evidence(claims: DataFrame, answers: DataFrame) -> DataFrame:
     """Claims whose support a confident answer says doesn't bear them out: page_id, passage_ord, claim, confidence."""
-    no = D.confident(answers.where("question_id = 'evidence_supports_claim'")).where("noul < 0.5").select("page_id", F.col("ref_id").cast("int").alias("passage_ord"), F.when(F.col("confidence") >= 0.85, "high").otherwise("medium").alias("confidence"))
+    no = D.confident(answers.where("question_id = 'evidence_supports_claim'")).where("noul < 0.5").select("page_id", F.col("ref_id").cast("int").alias("passage_ord"), T.page_band(F.col("confidence")).alias("confidence"))
     return claims.select("page_id", "passage_ord", "claim").join(no, ["page_id", "passage_ord"])
 
 
@@ -151,13 +151,14 @@ def messaging(answers: DataFrame) -> DataFrame:
     """Messaging checks that confident page answers below 0.5 trigger: page_id, check_id, confidence."""
     said = D.confident(answers.where(F.col("question_id").isin(*MESSAGING))).where("noul < 0.5")
     check = F.coalesce(*[F.when(F.col("question_id") == q, c) for q, c in MESSAGING.items()])
-    return said.select("page_id", check.alias("check_id"), F.when(F.col("confidence") >= 0.85, "high").otherwise("medium").alias("confidence"))
+    return said.select("page_id", check.alias("check_id"), T.page_band(F.col("confidence")).alias("confidence"))
 
 
 def page_coverage(answers: DataFrame) -> DataFrame:
-    """From confident answers to bank questions: page_id, question_id, answered (else only raised; others are neither)."""
+    """From confident answers to bank questions: page_id, question_id, answered (else only raised; others are neither) and the
+    band of the answer's confidence."""
     said = D.confident(answers).where(F.col("choice").isin("answers_it", "mentions_only"))
-    return said.select("page_id", "question_id", (F.col("choice") == "answers_it").alias("answered"))
+    return said.select("page_id", "question_id", (F.col("choice") == "answers_it").alias("answered"), T.page_band(F.col("confidence")).alias("confidence"))
 
 
 def profile(pages: DataFrame, answers: DataFrame, shortlist: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from pagewright import rules
 from pagewright.functions import text as T
+from pagewright.functions.match import group_hits
 
 MIN_PAGES, SELL_SHARE, STAGE_SHARE, OVERLAP, SHARED_TERMS, PAIRS, JOBS = 3, 0.7, 0.6, 0.6, 3, 5, 6
+MOST_QUESTIONS = 10_000
 
 
 def site_signals(pages: DataFrame) -> DataFrame:
@@ -75,18 +77,49 @@ def overlaps(pages: DataFrame, most: int = PAIRS) -> DataFrame:
     return met.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most).select("site", "a", "b", "shared", "ratio", "nth")
 
 
+def bank_groups(bank: DataFrame) -> tuple[list[str], tuple[tuple[str, ...], ...]]:
+    """The questions of a bank by ord, and the triggers of each. A bank is a rule table; one of over MOST_QUESTIONS is refused."""
+    rows = bank.select("ord", "question_id", "triggers").limit(MOST_QUESTIONS + 1).collect()
+    if len(rows) > MOST_QUESTIONS:
+        raise ValueError(f"a bank has at most {MOST_QUESTIONS} questions")
+    rows = sorted(rows, key=lambda r: r["ord"])
+    return [r["question_id"] for r in rows], tuple(tuple(r["triggers"]) for r in rows)
+
+
 def raised_questions(haystacks: DataFrame, bank: DataFrame, most: int = 6) -> DataFrame:
     """Questions of the bank that a page's text raises: page_id, question_id, hits, nth, from page_id, text (lower case) and
-    business_type (null keeps all questions). The bank is some dozen rows, so it is sent to the pages."""
-    bank_rows = F.broadcast(bank)
+    business_type (null keeps all questions). Texts are read once for the triggers of all questions; the bank, of a checked
+    size, meets what was found by question."""
+    ids, groups = bank_groups(bank)
+    names = F.array(*[F.lit(i) for i in ids])
+    each = haystacks.select("page_id", "business_type", F.inline(group_hits(F.col("text"), groups))).withColumn("question_id", F.get(names, F.col("grp")))
     fits = (F.size("business_types") == 0) | F.col("business_type").isNull() | F.array_contains("business_types", F.col("business_type"))
-    hits = F.size(F.filter("triggers", lambda t: F.contains(F.col("text"), t)))
-    met = haystacks.join(bank_rows, fits).withColumn("hits", hits).where("hits > 0")
+    met = each.join(F.broadcast(bank.select("question_id", "priority", "ord", "business_types")), "question_id").where(fits)
     place = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
     own = Window.partitionBy("page_id").orderBy(place, F.desc("hits"), "ord")
     return met.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most).select("page_id", "question_id", "hits", "nth")
 
 
+def coverage_passages(passages: DataFrame, sections: DataFrame, raised: DataFrame, bank: DataFrame, most: int = 14, chars: int = 1800, under: int = 3) -> DataFrame:
+    """The passages from which a page's raised questions are judged: page_id, passage_ord, nth.
+
+    Those that have a trigger of a question that the page raises (raised_questions()), the passage on either side of each, and
+    the first `under` of a section whose heading has one; of them the first `most`, and as many as fit in `chars` characters.
+    """
+    ids, groups = bank_groups(bank)
+    names = F.array(*[F.lit(i) for i in ids])
+    asks = lambda c: F.transform(group_hits(F.lower(F.coalesce(c, F.lit(""))), groups), lambda x: F.get(names, x["grp"]))
+    chosen = raised.groupBy("page_id").agg(F.collect_set("question_id").alias("chosen"))  # at most one for each of the bank
+    headed = sections.select("page_id", "section_ord", asks(F.col("heading")).alias("heads")).where(F.size("heads") > 0)
+    rows = passages.select("page_id", "section_ord", "passage_ord", "text", asks(F.col("text")).alias("asks")).join(chosen, "page_id").join(headed, ["page_id", "section_ord"], "left")
+    page, own = Window.partitionBy("page_id").orderBy("passage_ord"), Window.partitionBy("page_id", "section_ord").orderBy("passage_ord")
+    rows = rows.withColumns({"hit": F.arrays_overlap("asks", "chosen"), "first": (F.row_number().over(own) <= under) & F.coalesce(F.arrays_overlap("heads", "chosen"), F.lit(False))})
+    near = F.max("hit").over(page.rowsBetween(-1, 1))
+    kept = rows.withColumn("near", near).where(F.col("near") | F.col("first"))
+    upto = F.sum(F.length("text")).over(page.rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumns({"nth": F.row_number().over(page), "upto": upto}).where((F.col("nth") <= most) & (F.col("upto") <= chars)).select("page_id", "passage_ord", "nth")
+
+
 def coverage(pages: DataFrame, bank: DataFrame) -> DataFrame:
     """site, question_id, status (answered, unanswered, absent) and pages (answering ones first) of applicable questions."""
     each = pages.withColumns({"raised": F.coalesce("raised", F.array().cast("array<string>")), "answered": F.coalesce("answered", F.array().cast("array<string>"))})

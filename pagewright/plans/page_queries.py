@@ -10,6 +10,8 @@ from pagewright.functions import text as T
 from pagewright.operators import content as C
 from pagewright.operators import extract as X
 from pagewright.operators import findings as N
+from pagewright.operators import site as R
+from pagewright.sources.held import held
 
 from .registry import query
 from .text_queries import FAMILIES, LEXICON, PROOF, SENT, TOKENS, W, haystack, sql_evidence, sql_hype, sql_kind, with_slots
@@ -47,8 +49,8 @@ UNION ALL SELECT page_id, 'passages_too_long', 'count=' || count(*) FILTER (len(
 UNION ALL SELECT page_id, 'js_dependent', '' FROM sizes WHERE text_chars < 500 AND script_chars > 3 * text_chars)"""
 
 
-def structure(spark: S, d: str) -> DataFrame:
-    e = extracted(spark, d)
+def structure(e: DataFrame) -> DataFrame:
+    """Signals of extracted pages' structure."""
     docs, heads = X.docs(e), X.headings(e)
     return C.machine_access(docs).unionByName(C.structured_data(docs, heads)).unionByName(C.heading_structure(docs, heads)).unionByName(C.extractability(X.passages(e)))
 
@@ -56,7 +58,7 @@ def structure(spark: S, d: str) -> DataFrame:
 @query(STRUCTURE)
 def d02_d05_structure_signals(spark: S, d: str) -> DataFrame:
     """Every page of the tables has one main heading and neither canonical address nor description nor structured data."""
-    return with_slots(structure(spark, d))
+    return with_slots(structure(held(extracted(spark, d))))
 
 
 @query(f"WITH {PAGES} SELECT page_id, text_chars < 500 AND script_chars > 3 * text_chars AS js_likely FROM sizes")
@@ -222,6 +224,27 @@ def j11_w04_neighbourhood(spark: S, d: str) -> DataFrame:
     return lines(spark, d).withColumn("near", F.max(hit).over(own)).where("near = 1").select("page_id", "passage_ord")
 
 
+#: Stand-ins for the bank's questions, whose triggers turns do have.
+ASKED = ((0, "q_a", "high", ("license", "token")), (1, "q_b", "medium", ("worthless", "idiot", "stupid")), (2, "q_c", "low", ("that", "with")))
+ASKS = "list_filter([" + ", ".join(f"CASE WHEN {' OR '.join(f'contains({{t}}, {chr(39)}{x}{chr(39)})' for x in ts)} THEN '{q}' END" for _, q, _, ts in ASKED) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH {TURNS}, {TURN_SECTIONS}, docs AS (SELECT conv_id AS page_id, lower(string_agg(text, ' ' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id),
+r AS (SELECT page_id, q, list_sum([{', '.join(f"CASE WHEN q = '{q}' THEN {' + '.join(f'contains(text, {chr(39)}{x}{chr(39)})::INT' for x in ts)} ELSE 0 END" for _, q, _, ts in ASKED)}]) AS hits FROM docs, (VALUES ('q_a'), ('q_b'), ('q_c')) v(q)),
+chosen AS (SELECT page_id, list(q) AS qs FROM (SELECT * FROM r WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY q) <= 2) GROUP BY page_id),
+p AS (SELECT t.page_id, t.section_ord, passage_ord, text, list_has_any({ASKS.format(t='lower(text)')}, qs) AS hit, list_has_any({ASKS.format(t="lower(coalesce(heading, ''))")}, qs) AND row_number() OVER (PARTITION BY t.page_id, t.section_ord ORDER BY passage_ord) <= 3 AS headed
+  FROM raw_turns t JOIN chosen USING (page_id) LEFT JOIN turn_sections s ON s.page_id = t.page_id AND s.section_ord = t.section_ord),
+n AS (SELECT *, coalesce(lag(hit) OVER w, false) OR hit OR coalesce(lead(hit) OVER w, false) AS near FROM p WINDOW w AS (PARTITION BY page_id ORDER BY passage_ord)),
+k AS (SELECT page_id, passage_ord, row_number() OVER w AS nth, sum(length(text)) OVER w AS upto FROM n WHERE near OR headed WINDOW w AS (PARTITION BY page_id ORDER BY passage_ord))
+SELECT page_id, passage_ord, nth FROM k WHERE nth <= 14 AND upto <= 600""")
+def j11_j09_coverage_passages(spark: S, d: str) -> DataFrame:
+    """The bank is a stand-in; a page is judged on two questions at most and 600 characters."""
+    bank = spark.createDataFrame([(k, q, p, list(ts), []) for k, q, p, ts in ASKED], "ord int, question_id string, priority string, triggers array<string>, business_types array<string>")
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("page_id")).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")).alias("text"))
+    raised = R.raised_questions(c.withColumn("business_type", F.lit(None).cast("string")), bank, 2)
+    return R.coverage_passages(turns(spark, d), turn_sections(spark, d), raised, bank, chars=600).select("page_id", "passage_ord", F.col("nth").cast("long").alias("nth"))
+
+
 @query(f"WITH {SECTION_TEXTS} SELECT page_id, section_ord FROM section_texts WHERE n_words >= 12 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_words DESC, section_ord) <= 3")
 def o05_w09_largest_sections(spark: S, d: str) -> DataFrame:
     own = Window.partitionBy("page_id").orderBy(F.desc("n_words"), "section_ord")
@@ -244,20 +267,20 @@ PRIORITY = "CASE " + " ".join(f"WHEN check_id = '{c[0]}' THEN '{c[2]}'" for c in
 
 @query(f"""WITH s AS ({STRUCTURE}) SELECT page_id, check_id, {TIERS} AS tier, {PRIORITY} AS priority, row_number() OVER (PARTITION BY page_id ORDER BY {TIERS}, check_id) AS place FROM s""")
 def o01_impact_order(spark: S, d: str) -> DataFrame:
-    e = extracted(spark, d)
-    found = N.from_signals(structure(spark, d), rules.checks(spark), X.passages(e))
+    e = held(extracted(spark, d))
+    found = N.from_signals(structure(e), rules.checks(spark), X.passages(e))
     return N.in_order(found).select("page_id", "check_id", "tier", "priority", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH s AS ({STRUCTURE}) SELECT page_id, count(*) AS n, count(*) FILTER ({PRIORITY} = 'high') AS high, count(*) FILTER ({PRIORITY} = 'medium') AS medium, count(*) FILTER ({PRIORITY} = 'low') AS low FROM s GROUP BY page_id")
 def a01_finding_summary(spark: S, d: str) -> DataFrame:
-    found = N.from_signals(structure(spark, d), rules.checks(spark), X.passages(extracted(spark, d)))
-    return N.summary(found)
+    e = held(extracted(spark, d))
+    return N.summary(N.from_signals(structure(e), rules.checks(spark), X.passages(e)))
 
 
 @query(f"WITH s AS ({STRUCTURE}) SELECT check_id, count(*) AS n, count(DISTINCT page_id) AS pages FROM s GROUP BY check_id")
 def a02_occurrences(spark: S, d: str) -> DataFrame:
-    return structure(spark, d).groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+    return structure(held(extracted(spark, d))).groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
 MODULE_OF = f"{[c[1] for c in rules.CHECKS]}[event_id % {len(rules.CHECKS)} + 1]"

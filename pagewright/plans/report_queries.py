@@ -12,6 +12,8 @@ from pagewright.operators import extract as X
 from pagewright.operators import findings as N
 from pagewright.operators import report as P
 
+from pagewright.sources.held import held
+
 from .page_queries import CLAIMS, SECTION_TEXTS, STRUCTURE, TIERS, section_texts, structure
 from .registry import SQL, query
 from .text_queries import FAMILIES, HYPE, LEXICON, PROOF
@@ -25,8 +27,8 @@ KINDS = (*P.FIXES, "unknown")
 SELECT page_id, passage_ord, CASE WHEN len(q) = 0 THEN told ELSE 'It leans on ' || CASE WHEN len(q) = 1 THEN q[1] ELSE array_to_string(q[:len(q) - 1], ', ') || ' and ' || q[-1] END || '. ' || told END AS suggestion FROM f""")
 def p31_suggestions(spark: S, d: str) -> DataFrame:
     fix = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (digit(F.col("page_id"), 1) % len(KINDS) + 1).cast("int"))
-    terms = F.transform(F.slice(T.hype_terms(F.col("text"), list(LEXICON)), 1, 3), lambda x: x["term"])
-    return lines(spark, d).select("page_id", "passage_ord", P.suggestion(terms, fix).alias("suggestion"))
+    rows = lines(spark, d).withColumn("found", T.hype_terms(F.col("text"), list(LEXICON), 3))
+    return rows.select("page_id", "passage_ord", P.suggestion(F.transform("found", lambda x: x["term"]), fix).alias("suggestion"))
 
 
 @query("SELECT page_id, CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(path, '/$', '') END AS path, CASE page_id % 3 WHEN 0 THEN 'Now' WHEN 1 THEN 'Soon' ELSE 'Later' END AS label, CASE WHEN page_id % 3 = 1 THEN 'It is short.' ELSE 'It is short. (' || page_id % 3 || ' places)' END AS headline FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
@@ -111,7 +113,7 @@ def d12_messaging(spark: S, d: str) -> DataFrame:
     return P.messaging(said(pages, F.col("q")))
 
 
-@query(f"""WITH x AS (SELECT page_id, q, {sql_said("page_id || ':page:' || q")} FROM pages, (VALUES ('q_support'), ('q_free_tier')) v(q)) SELECT page_id, q AS question_id, a % 3 = 0 AS answered FROM x WHERE stated >= 0.5 AND a % 3 < 2""")
+@query(f"""WITH x AS (SELECT page_id, q, {sql_said("page_id || ':page:' || q")} FROM pages, (VALUES ('q_support'), ('q_free_tier')) v(q)) SELECT page_id, q AS question_id, a % 3 = 0 AS answered, CASE WHEN stated >= 0.85 THEN 'high' ELSE 'medium' END AS confidence FROM x WHERE stated >= 0.5 AND a % 3 < 2""")
 def d13_page_coverage(spark: S, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", F.lit("page").alias("ref_id"), F.explode(F.array(F.lit("q_support"), F.lit("q_free_tier"))).alias("q"))
     options = F.array(F.lit("answers_it"), F.lit("mentions_only"), F.lit("not_addressed"))
@@ -151,13 +153,14 @@ def a22_run_statistics(spark: S, d: str) -> DataFrame:
 
 @query(f"""WITH s AS ({STRUCTURE}), m AS ({SQL["d12_messaging"]}), c AS ({SQL["d13_page_coverage"]}), f AS (
   SELECT page_id, check_id, 'high' AS confidence, check_id AS finding_id FROM s UNION ALL SELECT page_id, check_id, confidence, check_id FROM m
-  UNION ALL SELECT page_id, 'question_raised_unanswered', 'high', 'question_raised_unanswered:' || question_id FROM c WHERE NOT answered
+  UNION ALL SELECT page_id, 'question_raised_unanswered', confidence, 'question_raised_unanswered:' || question_id FROM c WHERE NOT answered
 ), n AS (SELECT *, {TIERS} AS tier, count(*) OVER (PARTITION BY page_id, check_id) AS occurrences, list_position(['high', 'medium', 'low'], confidence) AS sure FROM f)
 SELECT page_id, check_id, confidence, occurrences, row_number() OVER (PARTITION BY page_id ORDER BY tier, occurrences DESC, sure, check_id, finding_id) AS place, a.why, a.action
 FROM n JOIN (VALUES {sql_rows((k, *v) for k, v in rules.ADVICE.items())}) a(check_id, why, action) USING (check_id)""")
 def u01_findings_union(spark: S, d: str) -> DataFrame:
     checks = rules.checks(spark)
-    static = N.from_signals(structure(spark, d), checks, X.passages(extracted(spark, d)))
+    e = held(extracted(spark, d))
+    static = N.from_signals(structure(e), checks, X.passages(e))
     coverage = N.from_coverage(d13_page_coverage(spark, d), checks, rules.question_texts(spark))
     found = N.advised(N.united(static, N.from_messaging(d12_messaging(spark, d), checks), coverage), rules.advice(spark))
     return found.select("page_id", "check_id", "confidence", "occurrences", F.col("place").cast("long").alias("place"), "why", "action")

@@ -81,9 +81,8 @@ def p15_stems(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {LINES}, {HYPE} SELECT page_id, passage_ord, array_to_string(list_transform(found, lambda x: x.at || ':' || x.term), ',') AS found FROM hyped WHERE len(found) > 0")
 def p16_hype_terms(spark: S, d: str) -> DataFrame:
-    found = T.hype_terms(F.col("text"), list(LEXICON))
-    rows = lines(spark, d).where(T.has_hype(F.col("text"), list(LEXICON)))
-    return rows.select("page_id", "passage_ord", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["at"].cast("string"), x["term"])), ",").alias("found"))
+    rows = lines(spark, d).withColumn("found", T.hype_terms(F.col("text"), list(LEXICON))).where(F.size("found") > 0)
+    return rows.select("page_id", "passage_ord", F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["at"].cast("string"), x["term"])), ",").alias("found"))
 
 
 @query(f"WITH {LINES}, {HYPE} SELECT page_id, passage_ord, round(100.0 * len(found) / {W}, 6) AS density FROM hyped")
@@ -160,9 +159,8 @@ def p06_redaction(spark: S, d: str) -> DataFrame:
 
 @query(f"WITH {LINES}, {HYPE} SELECT page_id, passage_ord, array_to_string(list_filter(list_transform(found, lambda x: x.term), lambda t: contains(lower(text[:40]), t)), ',') AS visible FROM hyped WHERE len(found) > 0")
 def p32_visible_terms(spark: S, d: str) -> DataFrame:
-    found = T.hype_terms(F.col("text"), list(LEXICON))
-    seen = F.filter(F.transform(found, lambda x: x["term"]), lambda t: F.contains(F.lower(F.left("text", F.lit(40))), t))
-    return lines(spark, d).where(F.size(found) > 0).select("page_id", "passage_ord", F.array_join(seen, ",").alias("visible"))
+    seen = F.filter(F.transform("found", lambda x: x["term"]), lambda t: F.contains(F.lower(F.left("text", F.lit(40))), t))
+    return lines(spark, d).withColumn("found", T.hype_terms(F.col("text"), list(LEXICON))).where(F.size("found") > 0).select("page_id", "passage_ord", F.array_join(seen, ",").alias("visible"))
 
 
 HIGHLIGHTED = ("thend", "with", "the")

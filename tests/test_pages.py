@@ -261,7 +261,7 @@ def test_a_whole_report(spark):
         (2, "section", "s0", "self_contained", "noul", 0.0, None, None, 2, None), (1, "page", "page", "states_the_problem", "noul", 0.1, None, None, 2, None), (1, "page", "page", "names_the_audience", "noul", 0.45, None, None, 2, None),
         (1, "page", "page", "q_support", "choice", None, "mentions_only", None, 3, 0.9), (1, "page", "page", "q_free_tier", "choice", None, "answers_it", None, 3, 0.9),
     ]
-    focuses = spark.createDataFrame([(1, "f1", "it is cheap", False), (1, "f2", "it is for teams", True)], "page_id long, focus_id string, focus string, found boolean")
+    focuses = spark.createDataFrame([(1, "f1", "it is cheap", False, 0.7), (1, "f2", "it is for teams", True, 0.9)], "page_id long, focus_id string, focus string, found boolean, confidence double")
     found = audit.report(pages, spark.createDataFrame(rows, decide.ANSWERS), focuses).collect()
     by_check = {f["check_id"]: f for f in found if f["page_id"] == 1}
     # The same words stand in both sections: one finding, with the evidence of 8 words and more; the weaker check is subsumed.
@@ -273,6 +273,9 @@ def test_a_whole_report(spark):
     assert by_check["no_problem_stated"]["confidence"] == "medium" and by_check["no_problem_stated"]["quotes"] == []
     assert by_check["question_raised_unanswered"]["finding_id"] == "question_raised_unanswered:q_support" and "Who helps me?" in by_check["question_raised_unanswered"]["observation"]
     assert by_check["focus_not_communicated"]["observation"] == "The page does not convey “it is cheap”." and len([f for f in found if f["check_id"] == "focus_not_communicated"]) == 1
+    assert by_check["question_raised_unanswered"]["confidence"] == "high" and by_check["focus_not_communicated"]["confidence"] == "medium"
+    sure = spark.createDataFrame([(2, "f1", "it is cheap", False, 0.85)], "page_id long, focus_id string, focus string, found boolean, confidence double")
+    assert [f["confidence"] for f in findings.from_focus(sure, rules.checks(spark)).collect()] == ["high"]
     assert all(f["why"] and f["action"] and "{" not in f["observation"] for f in found)
     of_one = sorted((f for f in found if f["page_id"] == 1), key=lambda f: f["place"])
     assert [f["place"] for f in of_one] == list(range(1, len(of_one) + 1)) and [f["tier"] for f in of_one] == sorted(f["tier"] for f in of_one)
@@ -297,3 +300,21 @@ def test_site_findings_of_focuses_and_audiences(spark):
     assert set(found) == {"question_unanswered_sitewide:q_support", "focus_not_communicated_sitewide:f1", "audience_drifts:site"}
     assert found["focus_not_communicated_sitewide:f1"] == "None of 4 pages conveys “it is cheap”."
     assert site.site_findings(pages.limit(0), *tables).collect() == []
+
+
+def test_sure_no_claims_are_not_judged_as_claims(spark):
+    long = "Our best and fastest thing makes every team in the world a good deal happier than before."
+    pages = spark.createDataFrame([(1, "https://e.com/a", page(f"<h2>What it does</h2><p>{long}</p><p>{long} Twice.</p><p>{long} Thrice.</p>"))], "page_id long, url string, html string")
+    ps = {r["text"]: (r["passage_ord"], r["section_ord"]) for r in extract.passages(extract.extract(pages)).collect()}
+    one, two, three = (ps[t][0] for t in (long, f"{long} Twice.", f"{long} Thrice."))
+    noul = lambda p, q, x: (1, "passage", str(p), q, "noul", x, None, None, 2, None)
+    vague = lambda p: (1, "passage", str(p), "claim_specificity", "score", None, None, 0.2, 4, 0.9)
+    kind = lambda scope, ref, c: (1, scope, ref, "improvement_type", "choice", None, c, None, 3, 0.9)
+    rows = [noul(one, "is_claim", 0.05), vague(one), noul(two, "is_claim", 0.95), vague(two), noul(three, "is_claim", 0.4), vague(three), kind("section", f"s{ps[long][1]}#1", "name_a_source"), kind("passage", str(two), "add_a_number")]
+    answers = spark.createDataFrame(rows, decide.ANSWERS)
+    found = [f["finding_id"] for f in audit.report(pages, answers).collect() if f["check_id"] == "vague_claim"]
+    assert sorted(found) == [f"vague_claim:{two}", f"vague_claim:{three}"]  # an unsure "no claim" silences nothing
+    told = {r["passage_ord"]: r for r in audit.suggestions(pages, answers).collect()}
+    assert set(told) == {two, three} and {r["improvement_type"] for r in told.values()} == {"name_a_source"}
+    assert "“fastest”" in told[two]["suggestion"] or "“best”" in told[two]["suggestion"]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
