@@ -46,12 +46,36 @@ def machine_access(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of structured data that are searched for types. A page of any other depth must not hold up all pages: each level
+#: is a pass over the nodes that have one.
+JSON_LEVELS = 64
+
+NODES = """
+WITH RECURSIVE nodes(page_id, name, value, level) AS (
+  SELECT page_id, CAST(NULL AS STRING), value, 0 FROM {parsed}
+  UNION ALL
+  SELECT n.page_id, c.key, c.value, n.level + 1 FROM nodes n, LATERAL variant_explode(n.value) c WHERE n.level < {levels}
+) SELECT page_id, name, value FROM nodes LIMIT ALL
+"""
+
+
+def json_nodes(blocks: DataFrame, levels: int = JSON_LEVELS) -> DataFrame:
+    """page_id, name and value of every node of the parsed blocks (page_id, value) down to `levels` below the top: name is an
+    object's key, null for a whole block or an array's element. Objects and arrays are opened level by level."""
+    return blocks.sparkSession.sql(NODES, parsed=blocks.select("page_id", "value"), levels=levels)
+
+
 def json_types(docs: DataFrame) -> DataFrame:
-    """page_id, blocks, malformed and types (all @type strings of all nested nodes) of the structured data blocks."""
-    blocks = docs.select("page_id", F.explode_outer("json_ld").alias("raw")).withColumn("ok", F.try_parse_json("raw").isNotNull())
-    named = F.regexp_extract_all("raw", F.lit(r'"@type"\s*:\s*(\[[^\]]*\]|"[^"]*")'), F.lit(1))
-    types = F.flatten(F.transform(named, lambda t: F.regexp_extract_all(t, F.lit(r'"([^"]*)"'), F.lit(1))))
-    return blocks.groupBy("page_id").agg(F.count("raw").alias("blocks"), F.count_if(F.col("raw").isNotNull() & ~F.col("ok")).alias("malformed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("ok"), types))))).alias("types"))
+    """page_id, blocks, malformed and types of the structured data blocks: all strings, alone or in an array, that are the
+    @type of an object at any depth. What merely looks like a type, within a string or under another key, is none."""
+    blocks = docs.select("page_id", F.explode_outer("json_ld").alias("raw")).withColumn("value", F.try_parse_json("raw"))
+    named = json_nodes(blocks.where("value IS NOT NULL")).where("name = '@type'")
+    one = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    found = named.select("page_id", F.coalesce(F.array(one(F.col("value"))), F.array()).alias("x"), F.try_variant_get("value", "$", "array<variant>").alias("several"))
+    found = found.select("page_id", F.explode(F.filter(F.concat("x", F.coalesce(F.transform("several", one), F.array().cast("array<string>"))), lambda t: t.isNotNull())).alias("type"))
+    types = found.groupBy("page_id").agg(F.array_sort(F.collect_set("type")).alias("types"))
+    counted = blocks.groupBy("page_id").agg(F.count("raw").alias("blocks"), F.count_if(F.col("raw").isNotNull() & F.col("value").isNull()).alias("malformed"))
+    return counted.join(types, "page_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
 def structured_data(docs: DataFrame, headings: DataFrame) -> DataFrame:

@@ -36,26 +36,64 @@ def replayed(states: DataFrame, recorded: DataFrame) -> DataFrame:
     return asked.join(recorded, ["key", "question_id"], "left").select("page_id", "scope", "ref_id", "question_id", F.coalesce("atype", F.lit("noul")).alias("atype"), "noul", "choice", "score", "n_options", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
-def decided(states: DataFrame, make: Callable[[], DecisionProvider]) -> DataFrame:
-    """Answers of a provider, a task at a time; after its first failure a task's other states go unanswered."""
+class Unavailable(Exception):
+    """A provider raises this, or any OSError, when it can't be reached: asking on would fail the same way."""
+
+
+#: Calls for a page, and calls that a task has open at a time; the order in which a page's states are asked.
+BUDGET, CONCURRENT = 14, 14
+SCOPES = ("page", "section", "passage")
+CALLS = ANSWERS + ", reason string"
+
+
+def calls(states: DataFrame, make: Callable[[], DecisionProvider], budget: int = BUDGET, concurrent: int = CONCURRENT) -> DataFrame:
+    """Answers of a provider to all questions about all states, and the reason why a question has none; columns as in CALLS.
+
+    states: page_id, scope, ref_id, state, questions, and priority (the smallest first; without the column all are equal). A
+    page gets `budget` calls, one a state: by priority, then scope, then ref; its other states go unanswered (`budget`). A task
+    has at most `concurrent` calls open. After the provider's first outage a task asks no more (`outage: ...`); what it hasn't
+    answered of a call it made is `no_answer`. Any other error of a provider is its own fault, and fails the task.
+
+    Null states and states without questions: as any other, and none. Repeated states are asked each.
+    """
+    first = F.col("priority") if "priority" in states.columns else F.lit(0)
+    known = F.array_position(F.array(*[F.lit(x) for x in SCOPES]), F.col("scope"))
+    own = Window.partitionBy("page_id").orderBy(first.asc_nulls_last(), F.when(known > 0, known).otherwise(len(SCOPES) + 1), F.length("ref_id"), "ref_id")
+    queue = states.withColumn("_nth", F.row_number().over(own)).select("page_id", "scope", "ref_id", "state", "questions", (F.col("_nth") <= budget).alias("asked"))
 
     def run(batches: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        provider, degraded = make(), False
-        for batch in batches:
-            rows = []
-            for s in batch.itertuples():
-                try:
-                    got = {} if degraded else provider.decide(s.state, list(s.questions))
-                except Exception:  # noqa: BLE001 - a provider's outage must not end the report
-                    got, degraded = {}, True
-                for q in s.questions:
-                    a = got.get(q, {})
-                    rows.append((s.page_id, s.scope, s.ref_id, q, a.get("atype", "noul"), a.get("noul"), a.get("choice"), a.get("score"), a.get("n_options"), a.get("confidence", 0.0)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ANSWERS.split(", ")])
-
-    return states.select("page_id", "scope", "ref_id", "state", "questions").mapInPandas(run, ANSWERS)
+        provider, down = make(), []
+
+        def call(s) -> tuple[dict, str | None]:
+            if not s.asked:
+                return {}, "budget"
+            if down:
+                return {}, down[0]
+            try:
+                return provider.decide(s.state, list(s.questions)), None
+            except (Unavailable, OSError) as e:
+                down.append(f"outage: {e}")
+                return {}, down[0]
+
+        with ThreadPoolExecutor(concurrent) as pool:
+            for batch in batches:
+                states_, rows = list(batch.itertuples()), []
+                for s, (got, reason) in zip(states_, pool.map(call, states_), strict=True):
+                    for q in s.questions if s.questions is not None else ():
+                        a = got.get(q, {})
+                        rows.append((s.page_id, s.scope, s.ref_id, q, a.get("atype", "noul"), a.get("noul"), a.get("choice"), a.get("score"), a.get("n_options"), a.get("confidence", 0.0), None if a else reason or "no_answer"))
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
+
+    return queue.mapInPandas(run, CALLS)
+
+
+def decided(states: DataFrame, make: Callable[[], DecisionProvider], budget: int = BUDGET, concurrent: int = CONCURRENT) -> DataFrame:
+    """calls() without reasons; columns as in ANSWERS."""
+    return calls(states, make, budget, concurrent).drop("reason")
 
 
 def confident(answers: DataFrame, bar: float = 0.6) -> DataFrame:

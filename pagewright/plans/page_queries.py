@@ -61,6 +61,27 @@ def d02_d05_structure_signals(spark: S, d: str) -> DataFrame:
     return with_slots(structure(held(extracted(spark, d))))
 
 
+@query(rf"""WITH pg AS (SELECT page_id, {sql_digit('page_id', 1)} AS a, {sql_digit('page_id', 2)} AS b, {sql_digit('page_id', 3)} AS c, {sql_digit('page_id', 4)} AS e FROM pages),
+blocks AS (
+  SELECT page_id, CASE WHEN c = 7 THEN raw[:length(raw) - 1] ELSE raw END AS raw FROM (
+    SELECT page_id, c, repeat('{{"x":[', a) || '{{"@type":["A' || b || '","B",5],"name":"\"@type\":\"no\"","type":"no","@graph":[{{"@type":"G' || e || '"}},{{"@type":{{"@type":"deep"}}}}]}}' || repeat(']}}', a) AS raw FROM pg)
+  UNION ALL SELECT page_id, '[]' FROM pg WHERE page_id % 3 = 0),
+good AS (SELECT page_id, raw, json_valid(raw) AS ok FROM blocks),
+tree AS (SELECT page_id, t.key, t.type, t.value, t.atom, t.parent, t.id, t.path FROM good, json_tree(CASE WHEN ok THEN raw ELSE '[]' END) t),
+types AS (
+  SELECT page_id, json_extract_string(value, '$') AS t FROM tree WHERE key = '@type' AND type = 'VARCHAR'
+  UNION ALL SELECT page_id, json_extract_string(x, '$') FROM (SELECT page_id, unnest(from_json(value, '["JSON"]')) AS x FROM tree WHERE key = '@type' AND type = 'ARRAY') WHERE json_type(x) = 'VARCHAR')
+SELECT page_id, count(*) AS blocks, count(*) FILTER (NOT ok) AS malformed, coalesce((SELECT array_to_string(list_sort(list(DISTINCT t)), ',') FROM types WHERE types.page_id = good.page_id), '') AS types FROM good GROUP BY page_id""")
+def a05_json_ld_types(spark: S, d: str) -> DataFrame:
+    """Blocks made of digits of each page: nested to 32 levels and more, some broken, with types that are none."""
+    p = table(spark, d, "pages").select("page_id", *[digit(F.col("page_id"), n).cast("int").alias(c) for n, c in ((1, "a"), (2, "b"), (3, "c"), (4, "e"))])
+    inner = F.concat(F.lit('{"@type":["A'), F.col("b").cast("string"), F.lit('","B",5],"name":"\\"@type\\":\\"no\\"","type":"no","@graph":[{"@type":"G'), F.col("e").cast("string"), F.lit('"},{"@type":{"@type":"deep"}}]}'))
+    raw = F.concat(F.expr("""repeat('{"x":[', a)"""), inner, F.expr("repeat(']}', a)"))
+    cut = F.when(F.col("c") == 7, F.expr("left(raw, length(raw) - 1)")).otherwise(F.col("raw"))
+    made = p.withColumn("raw", raw).select("page_id", F.when(F.col("page_id") % 3 == 0, F.array(cut, F.lit("[]"))).otherwise(F.array(cut)).alias("json_ld"))
+    return C.json_types(made).select("page_id", "blocks", "malformed", F.array_join("types", ",").alias("types"))
+
+
 @query(f"WITH {PAGES} SELECT page_id, text_chars < 500 AND script_chars > 3 * text_chars AS js_likely FROM sizes")
 def p22_script_dependence(spark: S, d: str) -> DataFrame:
     return X.docs(extracted(spark, d)).select("page_id", "js_likely")

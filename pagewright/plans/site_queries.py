@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from pagewright import rules
 from pagewright.functions import text as T
 from pagewright.operators import decide as D
+from pagewright.operators import extract as X
 from pagewright.operators import findings as N
 from pagewright.operators import site as R
+from pagewright.sources.held import held
 
+from .page_queries import PRIORITY, STRUCTURE, structure
 from .registry import SQL, query
 from .views import ANSWERS, HOST, SUMMARIES, TURN_SECTIONS, TURNS, answers, digit, sql_digit, sql_rows, summaries, table, turn_sections, turns
 
@@ -228,6 +231,27 @@ def t03_incremental_site(spark: S, d: str) -> DataFrame:
     return scan(spark, f"{d}/pages.parquet", shared_path(spark))
 
 
+@query(f"""WITH s AS ({STRUCTURE}), n AS (SELECT page_id, count(*) AS n, count(*) FILTER ({PRIORITY} = 'high') AS high FROM s GROUP BY page_id),
+once AS (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)
+SELECT regexp_extract({HOST}, '([^.]+\\.[^.]+)$', 1) AS site, count(*) AS pages, coalesce(sum(n), 0)::BIGINT AS findings, coalesce(sum(n.high), 0)::BIGINT AS high FROM once LEFT JOIN n USING (page_id) GROUP BY 1""")
+def t03_t04_incremental_audit(spark: S, d: str) -> DataFrame:
+    """Pages audited as they arrive: first a third of them without their titles, then all as they are, in a second run."""
+    from pagewright.streaming.scan import audit_scan
+
+    base = shared_path(spark)
+    p = table(spark, d, "pages")
+
+    def structural(pages: DataFrame) -> DataFrame:
+        e = held(X.extract(pages))
+        counts = N.summary(N.from_signals(structure(e), rules.checks(spark), X.passages(e)))
+        return e.select("page_id", "url").join(counts, "page_id", "left").select("page_id", "url", F.coalesce("n", F.lit(0)).alias("findings"), F.coalesce("high", F.lit(0)).alias("high"), F.lit(0).alias("acts"))
+
+    p.where("page_id % 3 = 0").withColumn("html", F.regexp_replace("html", "(?s)<title>.*?</title>", "")).write.mode("append").parquet(f"{base}/arrived")
+    audit_scan(spark, f"{base}/arrived", base, structural)
+    p.write.mode("append").parquet(f"{base}/arrived")
+    return audit_scan(spark, f"{base}/arrived", base, structural).select("site", "pages", "findings", "high")
+
+
 # Operator classes on the star schema ---------------------------------------------------------------------------------
 
 

@@ -318,3 +318,15 @@ def test_sure_no_claims_are_not_judged_as_claims(spark):
     assert set(told) == {two, three} and {r["improvement_type"] for r in told.values()} == {"name_a_source"}
     assert "“fastest”" in told[two]["suggestion"] or "“best”" in told[two]["suggestion"]
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_types_of_structured_data(spark):
+    deep = '{"x":[' * 15 + '{"@type":"Deep"}' + "]}" * 15
+    rows = [
+        (1, ['{"@type":"A","name":"\\"@type\\":\\"no\\"","x":[{"@type":["B","C",7,null,["D"]]},"@type"],"y":{"z":{"@type":"E"}}}']), (2, ["[]", "{", '"@type"', "null", '{"@type":5}']), (3, []), (4, None), (5, [deep, '[[{"@type":"Q"}]]', ""]),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, json_ld array<string>")
+    got = {r["page_id"]: (r["blocks"], r["malformed"], r["types"]) for r in content.json_types(df).collect()}
+    assert got == {1: (1, 0, ["A", "B", "C", "E"]), 2: (5, 1, []), 3: (0, 0, []), 4: (0, 0, []), 5: (3, 1, ["Deep", "Q"])}
+    over = spark.createDataFrame([(1, ['{"x":[' * 200 + '{"@type":"Never"}' + "]}" * 200, '{"@type":"A"}'])], "page_id long, json_ld array<string>")
+    assert content.json_types(over).first()["types"] == ["A"]  # as deep as is searched, and no page holds up others
