@@ -68,13 +68,31 @@ def stage_concentration(counts: DataFrame, least: int = 4, share: float = STAGE_
 
 def overlaps(pages: DataFrame, most: int = PAIRS) -> DataFrame:
     """Pairs of a site's pages of one stage and purpose that share at least 3 terms and 0.6 of the shorter list, the most alike
-    first; shared is in the order of the second page. The pages of a site are few, their pairs are made per stage and purpose."""
-    a = pages.select("site", "stage", "purpose", F.col("ord").alias("a"), F.col("terms").alias("ta"))
-    b = pages.select("site", "stage", "purpose", F.col("ord").alias("b"), F.col("terms").alias("tb"))
-    met = a.join(b, ["site", "stage", "purpose"]).where("a < b").withColumn("shared", F.array_intersect("tb", "ta"))
-    met = met.withColumn("ratio", F.size("shared") / F.least(F.size("ta"), F.size("tb"))).where((F.size("shared") >= SHARED_TERMS) & (F.col("ratio") >= OVERLAP))
-    own = Window.partitionBy("site").orderBy(F.desc("ratio"), F.desc(F.size("shared")), "a", "b")
-    return met.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most).select("site", "a", "b", "shared", "ratio", "nth")
+    first: site, a, b, shared (in the order of the second page), ratio, nth.
+
+    Pages meet by their rarest terms: a pair that shares enough has a common term among all but the last two of each list, as
+    rarest come first, and it is compared at the first term that both have, unless the terms left there can't be enough. Of
+    pages with one set of terms only the first ones can be among the `most` best pairs: the others are left out before. A page
+    that is there twice counts once.
+    """
+    own = ["site", "stage", "purpose"]
+    rows = pages.select(*own, "ord", "terms", F.size("terms").alias("n"), F.array_sort(F.array_distinct("terms")).alias("set")).where(F.size("set") >= SHARED_TERMS).where("stage IS NOT NULL AND purpose IS NOT NULL")
+    same = Window.partitionBy(*own, "set", "n").orderBy("ord")
+    rows = rows.distinct().withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= most + 1).drop("_nth")
+    each = rows.select(*own, "ord", "terms", "n", F.explode("set").alias("term"))
+    rarity = each.groupBy("site", "term").agg(F.count("*").alias("pages"))
+    placed = each.join(rarity, ["site", "term"]).groupBy(*own, "ord", "terms", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pages", "term"))), lambda x: x["term"]).alias("rare"))
+
+    def side(name: str) -> DataFrame:
+        first = placed.select(*own, F.col("ord").alias(name), F.col("terms").alias(f"t{name}"), F.col("n").alias(f"n{name}"), F.col("rare").alias(f"r{name}"), F.posexplode("rare").alias("at", "term"))
+        return first.withColumn(f"left{name}", F.size(f"r{name}") - F.col("at")).where(F.col(f"left{name}") >= SHARED_TERMS).drop("at")
+
+    needed = F.greatest(F.lit(float(SHARED_TERMS)), F.least("na", "nb") * OVERLAP)
+    met = side("a").join(side("b"), [*own, "term"]).where((F.col("a") < F.col("b")) & (F.least("lefta", "leftb") >= needed))
+    met = met.where(F.get(F.array_intersect("ra", "rb"), F.lit(0)) == F.col("term")).withColumn("shared", F.array_intersect("tb", "ta"))
+    met = met.withColumn("ratio", F.size("shared") / F.least("na", "nb")).where((F.size("shared") >= SHARED_TERMS) & (F.col("ratio") >= OVERLAP))
+    best = Window.partitionBy("site").orderBy(F.desc("ratio"), F.desc(F.size("shared")), "a", "b")
+    return met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("site", "a", "b", "shared", "ratio", "nth")
 
 
 def bank_groups(bank: DataFrame) -> tuple[list[str], tuple[tuple[str, ...], ...]]:
