@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpoint, pick
 
+SPACE = r"[\x20\x09-\x0D]*"
+
 #: Words in a block; rows that one window of the packing sorts, about; slots of an output shard; slots made by one row.
 BLOCK, BUCKET_ROWS, SHARD_SLOTS, CHUNK = 64, 20_000, 1 << 20, 1 << 12
 #: Weights of the sources by their order, repeating; what the mix takes of all words; how often a word is taken at most.
@@ -160,25 +162,45 @@ def taken_words(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFr
     return rows.select(id_column, "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: a row for each row of documents and epoch in which words of it are taken, with its columns.
+def mixed(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
+    """The mix as documents: a row for each run of words that an epoch takes of a row of documents, with its columns.
+
+    text is the document's, where all of it is taken, or a part of it that stands there word for word, with its spaces and
+    line breaks: blocks that follow one another are one run, others are rows of their own. n_chars is the text's length.
+    with_place adds shard and slot, the first place that the mix gives to a block of the run. Texts without words are in no
+    block and so in no mix. A word is in as many rows as it's taken times.
 
-    text is the document's, or the words taken of it, joined by spaces, where an epoch takes a part only; n_chars is its
-    length. Texts without words are in no block and so in no mix. A word is in as many rows as it's taken times.
+    Null text: in no mix. Null source: a source of its own. Repeated rows are taken each; rows that are equal in all columns
+    share what they are taken for. Very long texts are split once into words, in the task that holds the row.
     """
     names = [f"c{k}" for k in range(len(docs.columns))]
     to = {n: c for n, c in zip(names, docs.columns, strict=True) if c in ("doc_id", "text", "source", "n_chars")}
     plain = docs.toDF(*names).withColumnsRenamed(to)
     pieces, takes = mix(plain, "doc_id", known_by=tuple(plain.columns), **options)
-    took = pieces.join(takes.select("k", "block", "epoch").hint("merge"), ["k", "block"]).groupBy("k", "bucket", "at", "epoch", "doc_id", "mark", "size")
-    took = took.agg(F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts"), F.sum("n").alias("taken")).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "size", "taken", "parts")
+    took = pieces.join(takes.select("k", "block", "epoch", F.struct("shard", "slot").alias("place")).hint("merge"), ["k", "block"]).groupBy("k", "bucket", "at", "epoch", "doc_id", "mark", "size")
+    parts = F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), "n", "place")))
+    took = took.agg(parts.alias("parts")).select(F.col("doc_id").alias("id"), F.col("mark").alias("of"), "size", F.explode(_runs(F.col("parts"))).alias("run"))
     # Rows that are equal in all columns have one mark; each of their places in the mix needs one of them.
     own = plain.withColumn("mark", row_mark("doc_id", tuple(plain.columns)))
     first = own.withColumn("nth", F.row_number().over(Window.partitionBy("mark").orderBy("doc_id"))).where("nth = 1")
     joined = first.join(took.hint("merge"), (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["from"].cast("int") + 1, p["n"].cast("int")))), " ")
-    joined = joined.withColumn("text", F.when(F.col("taken") < F.col("size"), part).otherwise(F.col("text")))
+    words = F.regexp_extract_all("text", F.lit(SPACE + WORD), F.lit(0))  # each with the space before it
+    part = F.array_join(F.slice(words, F.col("run.start").cast("int") + 1, F.col("run.n").cast("int")), "")
+    joined = joined.withColumn("text", F.when(F.col("run.n") < F.col("size"), F.regexp_replace(part, "^" + SPACE, "")).otherwise(F.col("text")))
     if "n_chars" in plain.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(dict(plain.dtypes)["n_chars"]))
-    return joined.select(*plain.columns).toDF(*docs.columns)
+    place = [F.col("run.place.shard").alias("shard"), F.col("run.place.slot").alias("slot")] if with_place else []
+    return joined.select(*plain.columns, *place).toDF(*docs.columns, *(["shard", "slot"] if with_place else []))
+
+
+def _runs(parts: Column) -> Column:
+    """Sorted parts (start, n, place) with those that follow one another made one: its n is their sum, its place the least."""
+    none = F.slice(parts, 1, 0)
+
+    def add(out: Column, p: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        more = F.struct(last["start"].alias("start"), (last["n"] + p["n"]).alias("n"), F.least(last["place"], p["place"]).alias("place"))
+        follows = F.coalesce(last["start"] + last["n"] == p["start"], F.lit(False))
+        return F.when(follows, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(out, F.array(p)))
+
+    return F.aggregate(parts, none, add)

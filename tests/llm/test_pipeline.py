@@ -1,6 +1,8 @@
 """Each stage of the pipeline against a plain version on its own input, and the whole run."""
 
 import hashlib
+import re
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -68,10 +70,39 @@ def test_the_mix_is_what_is_taken(spark, steps):
             parts.setdefault((p["doc_id"], epoch), []).append((p["from"], p["n"]))
     want = []
     for (i, _), spans in parts.items():
-        words = texts[i]["text"].encode().split()
-        whole = sum(n for _, n in spans) == len(words)
-        want.append((i, texts[i]["text"] if whole else b" ".join(w for s, n in sorted(spans) for w in words[s : s + n]).decode()))
-    assert sorted(want) == sorted((r["doc_id"], r["text"]) for r in mix.collect())
+        text, runs = texts[i]["text"], []
+        at = [m.span() for m in re.finditer(mixing.WORD, text)]
+        for start, n in sorted(spans):
+            if runs and sum(runs[-1]) == start:
+                runs[-1][1] += n
+            else:
+                runs.append([start, n])
+        want += [(i, text if n == len(at) else text[at[start][0] : at[start + n - 1][1]]) for start, n in runs]
+    got = [(r["doc_id"], r["text"]) for r in mix.collect()]
+    assert sorted(want) == sorted(got)
+    assert all(t in texts[i]["text"] for i, t in got)  # word for word, with spaces and line breaks
+    counted = Counter()
+    for i, t in got:
+        counted[i] += len(t.encode().split())
+    assert {r["doc_id"]: r["taken"] for r in mixing.taken_words(clean).collect() if r["taken"]}.keys() == counted.keys()
+    assert all(r["n_chars"] == len(r["text"]) for r in mix.collect())
+
+
+def test_runs_of_a_mix(spark):
+    """Small blocks and shards: parts of a text are rows of their own, and say where the mix puts them."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}.{j}" + ("\n\n" if j % 5 == 4 else "") for j in range(23 + k)), "abc"[k % 3]) for k in range(30)], "doc_id long, text string, source string")
+    options = dict(block=4, shard_slots=64)
+    placed = mixing.mixed(docs, with_place=True, **options).collect()
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken_words(docs, **options).collect()}
+    texts, counts = rows(docs), Counter()
+    for r in placed:
+        assert r["text"] in texts[r["doc_id"]]["text"] and r["text"].split()[0] and not r["text"][0].isspace()
+        counts[r["doc_id"]] += len(r["text"].split())
+    pieces, takes = mixing.mix(docs, known_by=tuple(docs.columns), **options)
+    assert sum(counts.values()) == pieces.join(takes, ["k", "block"]).groupBy().sum("n").first()[0]
+    assert len({r["shard"] for r in placed}) > 3 and abs(sum(counts.values()) - sum(taken.values())) < 0.05 * sum(taken.values())
+    once = {(r["shard"], r["slot"], r["doc_id"], r["text"]) for r in placed}
+    assert len(once) == len(placed)
 
 
 def test_run_and_odd_rows(spark, sf, odd, none):
