@@ -13,6 +13,7 @@ from pagewright.operators import findings as N
 from pagewright.operators import report as P
 
 from pagewright.sources.held import held
+from pagewright.sources.sinks import NOTHING, page_reports
 
 from .page_queries import CLAIMS, SECTION_TEXTS, STRUCTURE, TIERS, section_texts, structure
 from .registry import SQL, query
@@ -164,3 +165,39 @@ def u01_findings_union(spark: S, d: str) -> DataFrame:
     coverage = N.from_coverage(d13_page_coverage(spark, d), checks, rules.question_texts(spark))
     found = N.advised(N.united(static, N.from_messaging(d12_messaging(spark, d), checks), coverage), rules.advice(spark))
     return found.select("page_id", "check_id", "confidence", "occurrences", F.col("place").cast("long").alias("place"), "why", "action")
+
+
+CHECK_ROWS = "ck(check_id, module, priority, tier, observation) AS (VALUES " + ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in c) + ")" for c in rules.CHECKS) + ")"
+
+
+def sql_reports(kind: str) -> str:
+    """Reports of pages on their messaging, in Markdown or as HTML."""
+    line = {
+        "markdown": r"chr(10) || chr(10) || '### ' || place || '. ' || observation || chr(10) || chr(10) || 'Priority: ' || priority || ', confidence: ' || confidence || chr(10) || chr(10) || why || chr(10) || chr(10) || 'To do: ' || action",
+        "html": "'<li><p>' || " + "replace(" * 4 + "observation, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p><p>' || " + "replace(" * 4 + "action, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || '</p></li>'",
+    }[kind]
+    url = "replace(url, '&', '&amp;')"
+    whole = {
+        "markdown": f"'# ' || url || chr(10) || chr(10) || url || chr(10) || chr(10) || '## Findings (' || coalesce(k, 0) || ')' || coalesce(body, chr(10) || chr(10) || '{NOTHING}') || chr(10)",
+        "html": f"""'<!doctype html><meta charset="utf-8"><title>' || {url} || '</title><h1>' || {url} || '</h1><p>' || {url} || '</p>' || coalesce('<ol>' || body || '</ol>', '<p>{NOTHING}</p>') || chr(10)""",
+    }[kind]
+    return f"""WITH m AS ({SQL["d12_messaging"]}), {CHECK_ROWS}, a(check_id, why, action) AS (VALUES {sql_rows((k, *v) for k, v in rules.ADVICE.items())}),
+f AS (SELECT page_id, m.confidence, ck.*, why, action, row_number() OVER (PARTITION BY page_id ORDER BY tier, list_position(['high', 'medium', 'low'], m.confidence), check_id) AS place FROM m JOIN ck USING (check_id) JOIN a USING (check_id)),
+b AS (SELECT page_id, count(*) AS k, string_agg({line}, '' ORDER BY place) AS body FROM f GROUP BY page_id)
+SELECT page_id, 'page-' || page_id || '.{"md" if kind == "markdown" else "html"}' AS name, md5({whole}) AS digest FROM pages LEFT JOIN b USING (page_id)"""
+
+
+def reported(spark: S, d: str, kind: str) -> DataFrame:
+    found = N.advised(N.united(N.from_messaging(d12_messaging(spark, d), rules.checks(spark))), rules.advice(spark))
+    pages = table(spark, d, "pages").select("page_id", "url", F.lit(None).cast("string").alias("title"))
+    return page_reports(pages, found, kind).select("page_id", "name", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(sql_reports("markdown"))
+def s14_page_reports(spark: S, d: str) -> DataFrame:
+    return reported(spark, d, "markdown")
+
+
+@query(sql_reports("html"))
+def s15_html_reports(spark: S, d: str) -> DataFrame:
+    return reported(spark, d, "html")
