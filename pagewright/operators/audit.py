@@ -77,11 +77,23 @@ def suggestions(pages: DataFrame, answers: DataFrame, limit: int = 3) -> DataFra
     return terms.select("page_id", "passage_ord", "improvement_type", P.suggestion(F.col("terms"), F.coalesce("improvement_type", F.lit(""))).alias("suggestion"))
 
 
-def page_summaries(pages: DataFrame) -> DataFrame:
-    """page_id, url, title, topic terms, whether a link offers an action, and counts of findings."""
+def page_summaries(pages: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """A row a page, as site operators take it: page_id, ord, site, url, title, terms, has_action (whether a link offers one),
+    findings and high (their counts), and, of answers (as decide.ANSWERS), the fields of report.summary_fields(), null without.
+
+    With answers findings are those of report(), else those of signals. A site is a registered domain: the last two labels of
+    the host."""
+    spark = pages.sparkSession
     extracted = held(X.extract(pages))
     docs = X.docs(extracted)
     acts = C.ctas(X.links(extracted)).groupBy("page_id").agg(F.max((F.coalesce("cta", F.lit("")) == "action").cast("int")).alias("acts"))
-    counts = N.summary(N.from_signals(signals(extracted), rules.checks(pages.sparkSession), X.passages(extracted))).select("page_id", F.col("n").alias("findings"), "high")
-    joined = docs.select("page_id", "url", "title").join(C.topic_terms(docs, X.headings(extracted)), "page_id", "left").join(acts, "page_id", "left").join(counts, "page_id", "left")
-    return joined.select("page_id", "url", "title", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), (F.coalesce("acts", F.lit(0)) > 0).alias("has_action"), F.coalesce("findings", F.lit(0).cast("long")).alias("findings"), F.coalesce("high", F.lit(0).cast("long")).alias("high"))
+    checks = rules.checks(spark)
+    found = N.from_signals(signals(extracted), checks, X.passages(extracted)) if answers is None else report(pages, answers)
+    counts = N.summary(found).select("page_id", F.col("n").alias("findings"), "high")
+    said = P.summary_fields(spark.createDataFrame([], D.ANSWERS) if answers is None else D.merged_chunks(answers))
+    joined = docs.select("page_id", "url", "title").join(C.topic_terms(docs, X.headings(extracted)), "page_id", "left").join(acts, "page_id", "left").join(counts, "page_id", "left").join(said, "page_id", "left")
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    return joined.select(
+        "page_id", F.col("page_id").alias("ord"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("site"), "url", "title", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"), (F.coalesce("acts", F.lit(0)) > 0).alias("has_action"),
+        F.coalesce("findings", F.lit(0).cast("long")).alias("findings"), F.coalesce("high", F.lit(0).cast("long")).alias("high"), "purpose", "business_type", "stage", "audience_named", "raised", "answered",
+    )

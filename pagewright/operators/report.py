@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright import rules
 from pagewright.functions import text as T
 
 from . import decide as D
@@ -161,6 +162,25 @@ def page_coverage(answers: DataFrame) -> DataFrame:
     return said.select("page_id", "question_id", (F.col("choice") == "answers_it").alias("answered"), T.page_band(F.col("confidence")).alias("confidence"))
 
 
+def summary_fields(answers: DataFrame) -> DataFrame:
+    """What confident answers say of each page: page_id, purpose, business_type, stage (null where unsure or not stated),
+    audience_named (null where unsure), raised and answered (arrays of bank questions; null where none was asked).
+
+    A question that is answered counts as raised, too; one that isn't addressed, or unsure, as neither."""
+    one = answers.where("scope = 'page'")
+    sure = D.confident(one)
+    chosen = lambda q: F.max(F.when(F.col("question_id") == q, F.when(F.col("choice") != "not_stated", F.col("choice"))))
+    said = sure.groupBy("page_id").agg(
+        chosen("purpose_clarity").alias("purpose"), chosen("business_type").alias("business_type"), chosen("journey_stage").alias("stage"), F.max(F.when(F.col("question_id") == "names_the_audience", F.col("noul") >= 0.5)).alias("audience_named")
+    )
+    bank = [*rules.QUESTION_TEXTS]
+    asked = one.where(F.col("question_id").isin(*bank))
+    covered = page_coverage(asked).groupBy("page_id").agg(F.array_sort(F.collect_set("question_id")).alias("raised"), F.array_sort(F.collect_set(F.when(F.col("answered"), F.col("question_id")))).alias("answered"))
+    none = F.array().cast("array<string>")
+    coverage = asked.select("page_id").distinct().join(covered, "page_id", "left").select("page_id", F.coalesce("raised", none).alias("raised"), F.coalesce("answered", none).alias("answered"))
+    return one.select("page_id").distinct().join(said, "page_id", "left").join(coverage, "page_id", "left")
+
+
 def profile(pages: DataFrame, answers: DataFrame, shortlist: DataFrame) -> DataFrame:
     """page_id, dimension, value, quote, absent and confidence for all five dimensions of each page.
 

@@ -201,3 +201,36 @@ def s14_page_reports(spark: S, d: str) -> DataFrame:
 @query(sql_reports("html"))
 def s15_html_reports(spark: S, d: str) -> DataFrame:
     return reported(spark, d, "html")
+
+
+#: The questions of a summary, and the options of those that have some.
+SUMMARY = (("purpose_clarity", ("sell", "explain", "not_stated")), ("journey_stage", ("awareness", "decision", "purchase")), ("business_type", ("saas", "agency", "not_stated")), ("q_support", ("answers_it", "mentions_only", "not_addressed")), ("q_free_tier", ("answers_it", "mentions_only", "not_addressed")))
+
+
+def summary_answers(spark: S, d: str) -> DataFrame:
+    """Synthetic answers to a summary's questions about pages; every fifth page isn't asked about the bank's."""
+    pages = table(spark, d, "pages").select("page_id", F.lit("page").alias("ref_id"))
+    out = said(pages, F.lit("names_the_audience"))
+    for q, options in SUMMARY:
+        of = F.array(*[F.lit(o) for o in options])
+        asked = pages.where("page_id % 5 != 0") if q.startswith("q_") else pages
+        out = out.unionByName(said(asked, F.lit(q), lambda a, of=of, n=len(options): F.element_at(of, (a % n + 1).cast("int"))))
+    return out
+
+
+@query(f"""WITH x AS (SELECT page_id, q, {sql_said("page_id || ':page:' || q")} FROM pages, (VALUES ('names_the_audience'), {', '.join(f"('{q}')" for q, _ in SUMMARY)}) v(q)),
+c AS (SELECT page_id, q, noul, sure, CASE {' '.join(f"WHEN q = '{q}' THEN {list(o)}[a % {len(o)} + 1]" for q, o in SUMMARY)} END AS choice FROM x WHERE CASE WHEN q = 'names_the_audience' THEN sure >= 0.6 ELSE stated >= 0.5 END AND NOT (starts_with(q, 'q_') AND page_id % 5 = 0)),
+t AS ({SQL["a10_topic_terms"]})
+SELECT p.page_id, regexp_extract(lower(regexp_extract(url, '://([^/?#]*)', 1)), '([^.]+\\.[^.]+)$', 1) AS site, coalesce(any_value(t.terms), '') AS terms,
+  max(choice) FILTER (q = 'purpose_clarity' AND choice != 'not_stated') AS purpose, max(choice) FILTER (q = 'business_type' AND choice != 'not_stated') AS business_type, max(choice) FILTER (q = 'journey_stage') AS stage,
+  bool_or(noul >= 0.5) FILTER (q = 'names_the_audience') AS audience_named,
+  CASE WHEN p.page_id % 5 != 0 THEN coalesce(string_agg(q, ',' ORDER BY q) FILTER (starts_with(q, 'q_') AND choice != 'not_addressed'), '') END AS raised,
+  CASE WHEN p.page_id % 5 != 0 THEN coalesce(string_agg(q, ',' ORDER BY q) FILTER (starts_with(q, 'q_') AND choice = 'answers_it'), '') END AS answered
+FROM pages p LEFT JOIN c ON c.page_id = p.page_id LEFT JOIN t ON t.page_id = p.page_id GROUP BY p.page_id, url""")
+def d15_page_summaries(spark: S, d: str) -> DataFrame:
+    """Summaries by the whole chain, with their answers; counts of findings are tested against reports."""
+    from pagewright.operators import audit
+
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    rows = audit.page_summaries(table(spark, d, "pages"), summary_answers(spark, d))
+    return rows.select("page_id", "site", joined("terms"), "purpose", "business_type", "stage", "audience_named", joined("raised"), joined("answered"))
