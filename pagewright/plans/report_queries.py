@@ -12,13 +12,15 @@ from pagewright.operators import extract as X
 from pagewright.operators import findings as N
 from pagewright.operators import report as P
 
+from pagewright.operators import states as ST
 from pagewright.sources.held import held
 from pagewright.sources.sinks import NOTHING, page_reports
 
 from .page_queries import CLAIMS, SECTION_TEXTS, STRUCTURE, TIERS, section_texts, structure
 from .registry import SQL, query
+from .site_queries import TERMS
 from .text_queries import FAMILIES, HYPE, LEXICON, PROOF
-from .views import HOST, LINES, digit, extracted, lines, sql_digit, sql_rows, table
+from .views import HOST, LINES, PAGES, SUMMARIES, TURN_SECTIONS, TURNS, digit, extracted, lines, sql_digit, sql_rows, summaries, table, turn_sections, turns
 
 S = SparkSession
 KINDS = (*P.FIXES, "unknown")
@@ -234,3 +236,38 @@ def d15_page_summaries(spark: S, d: str) -> DataFrame:
     joined = lambda c: F.array_join(c, ",").alias(c)
     rows = audit.page_summaries(table(spark, d, "pages"), summary_answers(spark, d))
     return rows.select("page_id", "site", joined("terms"), "purpose", "business_type", "stage", "audience_named", joined("raised"), joined("answered"))
+
+
+def digested(states: DataFrame, by: str = "page_id") -> DataFrame:
+    return states.select(by, "ref_id", F.md5(F.col("state").cast("binary")).alias("digest"), "tokens")
+
+
+@query(f"""WITH {PAGES}, o AS (SELECT page_id, string_agg(text, ' ' ORDER BY passage_ord)[:1200] AS opening FROM paras WHERE passage_ord < 3 GROUP BY page_id),
+s AS (SELECT a.page_id, to_json({{'url': url, 'title': title, 'meta_description': NULL::VARCHAR, 'headings': ['# ' || h.text], 'opening_text': coalesce(opening, '')}})::VARCHAR AS state FROM arts a JOIN heads h USING (page_id) LEFT JOIN o USING (page_id))
+SELECT page_id, 'page' AS ref_id, md5(state) AS digest, ceil(length(state) / 3.5)::BIGINT AS tokens FROM s""")
+def d16_page_states(spark: S, d: str) -> DataFrame:
+    return digested(ST.page_states(extracted(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {TURNS}, {TURN_SECTIONS}, o AS (SELECT page_id, section_ord, passage_ord, text, row_number() OVER (PARTITION BY page_id, section_ord ORDER BY passage_ord) AS i, ceil(length(text) / 3.5)::BIGINT AS t FROM raw_turns),
+walk AS (SELECT page_id, section_ord, i, t AS tokens, 0 AS chunk FROM o WHERE i = 1 UNION ALL
+  SELECT o.page_id, o.section_ord, o.i, CASE WHEN w.tokens + o.t > 60 THEN o.t ELSE w.tokens + o.t END, CASE WHEN w.tokens + o.t > 60 THEN w.chunk + 1 ELSE w.chunk END FROM walk w JOIN o ON o.page_id = w.page_id AND o.section_ord = w.section_ord AND o.i = w.i + 1),
+c AS (SELECT o.page_id, o.section_ord, chunk, string_agg(text, chr(10) || chr(10) ORDER BY o.i) AS text FROM o JOIN walk w ON w.page_id = o.page_id AND w.section_ord = o.section_ord AND w.i = o.i GROUP BY ALL),
+w AS (SELECT page_id, section_ord, sum(len(string_split_regex(text, '\\s+'))) AS n FROM o GROUP BY page_id, section_ord),
+n AS (SELECT page_id, section_ord FROM w WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, section_ord) <= 5),
+p AS (SELECT c.*, heading, level, count(*) OVER (PARTITION BY page_id, section_ord) AS parts FROM c JOIN n USING (page_id, section_ord) JOIN turn_sections USING (page_id, section_ord)),
+s AS (SELECT page_id, 's' || section_ord || CASE WHEN parts > 1 THEN '#' || chunk ELSE '' END AS ref_id, CASE WHEN parts > 1 THEN to_json({{'page_title': 'Untitled page', 'heading': heading, 'heading_level': level, 'text': text, 'part': (chunk + 1) || ' of ' || parts}})::VARCHAR
+  ELSE to_json({{'page_title': 'Untitled page', 'heading': heading, 'heading_level': level, 'text': text}})::VARCHAR END AS state FROM p)
+SELECT page_id, ref_id, md5(state) AS digest, ceil(length(state) / 3.5)::BIGINT AS tokens FROM s""")
+def d16_w07_split_section_states(spark: S, d: str) -> DataFrame:
+    """Turns as sections, with a budget of 60 tokens so that long ones are cut."""
+    rows = turns(spark, d)
+    docs = rows.select("page_id").distinct().withColumn("title", F.lit(None).cast("string"))
+    return digested(ST.section_states(docs, turn_sections(spark, d), rows, budget=60, most=5))
+
+
+@query(f"""WITH {SUMMARIES}, k AS (SELECT *, {TERMS} AS terms, row_number() OVER (PARTITION BY site ORDER BY ord) AS nth FROM summaries),
+s AS (SELECT site, to_json({{'pages': list({{'url': url, 'purpose': purpose, 'business_type': business_type, 'terms': terms, 'audience_named': audience_named, 'has_action': has_action, 'stage': stage}} ORDER BY nth)}})::VARCHAR AS state FROM k WHERE nth <= 25 GROUP BY site)
+SELECT site, 'site' AS ref_id, md5(state) AS digest, ceil(length(state) / 3.5)::BIGINT AS tokens FROM s""")
+def d16_site_states(spark: S, d: str) -> DataFrame:
+    return digested(ST.site_states(summaries(spark, d)), by="site")
