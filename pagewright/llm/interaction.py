@@ -48,7 +48,9 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = pick(docs, "doc_id", "text", "source").withColumn("part", F.coalesce("source", F.lit(""))).drop("source")
     signs = written(map_batches(rows, make, SIGNS, "text"))
     first = signs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    first = written(first, tidy=False)  # a table of its own, so that the join can split a text that very many rows have
     marks = pick(labels, "doc_id", "quality", "toxic").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
+    marks = written(marks, tidy=False)
     found = signs.join(first.hint("merge"), "digest", "left").withColumn("E", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     found = found.join(marks.hint("merge"), "doc_id", "left")
     return found.select("part", *FILTERS, *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
