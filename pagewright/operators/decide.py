@@ -46,11 +46,12 @@ SCOPES = ("page", "section", "passage")
 CALLS = ANSWERS + ", reason string"
 
 
-def calls(states: DataFrame, make: Callable[[], DecisionProvider], budget: int = BUDGET, concurrent: int = CONCURRENT) -> DataFrame:
+def calls(states: DataFrame, make: Callable[[], DecisionProvider], budget: int | None = BUDGET, concurrent: int = CONCURRENT) -> DataFrame:
     """Answers of a provider to all questions about all states, and the reason why a question has none; columns as in CALLS.
 
     states: page_id, scope, ref_id, state, questions, and priority (the smallest first; without the column all are equal). A
-    page gets `budget` calls, one a state: by priority, then scope, then ref; its other states go unanswered (`budget`). A task
+    page gets `budget` calls, one a state: by priority, then scope, then ref; its other states go unanswered (`budget`). Without a
+    budget states are asked as they are dealt and ordered. A task
     has at most `concurrent` calls open. After the provider's first outage a task asks no more (`outage: ...`); what it hasn't
     answered of a call it made is `no_answer`. Any other error of a provider is its own fault, and fails the task.
 
@@ -59,7 +60,8 @@ def calls(states: DataFrame, make: Callable[[], DecisionProvider], budget: int =
     first = F.col("priority") if "priority" in states.columns else F.lit(0)
     known = F.array_position(F.array(*[F.lit(x) for x in SCOPES]), F.col("scope"))
     own = Window.partitionBy("page_id").orderBy(first.asc_nulls_last(), F.when(known > 0, known).otherwise(len(SCOPES) + 1), F.length("ref_id"), "ref_id")
-    queue = states.withColumn("_nth", F.row_number().over(own)).select("page_id", "scope", "ref_id", "state", "questions", (F.col("_nth") <= budget).alias("asked"))
+    asked = F.lit(True) if budget is None else F.row_number().over(own) <= budget
+    queue = states.withColumn("_asked", asked).select("page_id", "scope", "ref_id", "state", "questions", F.col("_asked").alias("asked"))
 
     def run(batches: Iterator) -> Iterator:
         from concurrent.futures import ThreadPoolExecutor
@@ -91,9 +93,10 @@ def calls(states: DataFrame, make: Callable[[], DecisionProvider], budget: int =
     return queue.mapInPandas(run, CALLS)
 
 
-def decided(states: DataFrame, make: Callable[[], DecisionProvider], budget: int = BUDGET, concurrent: int = CONCURRENT) -> DataFrame:
-    """calls() without reasons; columns as in ANSWERS."""
-    return calls(states, make, budget, concurrent).drop("reason")
+def decided(states: DataFrame, make: Callable[[], DecisionProvider]) -> DataFrame:
+    """Answers of a provider, a state at a time; after its first outage a task's other states go unanswered. Columns as in
+    ANSWERS; calls() has budgets, calls side by side, and reasons."""
+    return calls(states, make, budget=None, concurrent=1).drop("reason")
 
 
 def confident(answers: DataFrame, bar: float = 0.6) -> DataFrame:
