@@ -87,8 +87,8 @@ def language_supported(lang: Column) -> Column:
 
 
 def fnv1a(s: Column) -> Column:
-    """32-bit FNV-1a over code points, as 8 hex digits."""
-    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over UTF-16 units, as 8 hex digits."""
+    codes = F.transform(F.regexp_extract_all(F.hex(F.encode(s, "UTF-16BE")), F.lit("(.{4})")), lambda c: F.conv(c, 16, 10).cast("long"))
     h = F.aggregate(codes, F.lit(0x811C9DC5).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(0x01000193).cast("long"), F.lit(1 << 32).cast("long")))
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 

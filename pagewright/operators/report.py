@@ -88,7 +88,22 @@ def suggestion(terms: Column, fix: Column) -> Column:
 
 
 def headline(observation: Column, n: Column) -> Column:
-    return F.when(n == 1, observation).otherwise(F.concat(observation, F.lit(" ("), n.cast("string"), F.lit(" places)")))
+    """A finding's observation, said once of n places. One that begins with a quoted heading is said of n sections."""
+    quoted = r"^[“\"].+[”\"]\s+"
+    rest = F.regexp_replace(observation, quoted, "")
+    for one, many in (("does not", "do not"), ("reads", "read"), ("contains", "contain"), ("holds", "hold")):
+        rest = F.regexp_replace(rest, f"^{one}", many)
+    several = F.when(observation.rlike(quoted), F.concat(n.cast("string"), F.lit(" sections "), rest))
+    return F.when(n == 1, observation).otherwise(F.coalesce(several, F.concat(observation, F.lit(" ("), n.cast("string"), F.lit(" places)"))))
+
+
+def section_names(findings: DataFrame, sections: DataFrame) -> DataFrame:
+    """findings (page_id, section_ord, ...) with section, the name under which a reader looks for it: the section's heading;
+    where it has none, or isn't there, its number; without a section the page. sections: page_id, section_ord, heading, each
+    once; a finding is one row whatever they are."""
+    named = sections.groupBy("page_id", "section_ord").agg(F.min(F.when(F.col("heading") != "", F.col("heading"))).alias("_heading"))
+    number = F.concat(F.lit("Section "), F.col("section_ord").cast("string"))
+    return findings.join(named, ["page_id", "section_ord"], "left").withColumn("section", F.coalesce("_heading", number, F.lit("This page"))).drop("_heading")
 
 
 def short_path(url: Column) -> Column:

@@ -186,7 +186,7 @@ def site_findings(pages: DataFrame, checks: DataFrame, bank: DataFrame, texts: D
 
 
 def opportunities(findings: DataFrame, bank: DataFrame, single_page: bool = False, most: int = JOBS) -> DataFrame:
-    """The plan: site, job_id, kind, tier, pages, findings, nth, from site, finding_id, check_id, module and page.
+    """The plan: site, job_id, kind, subject (check or area), n (of what made it a job), tier, pages, ids, nth, from site, finding_id, check_id, module and page.
 
     recurring: a listed check on 3 pages and more (on a single page: 2 findings and more). site: each finding of a site-level
     check. area: two and more unanswered questions of one area become one job; they leave the other jobs, which keep their
@@ -195,13 +195,20 @@ def opportunities(findings: DataFrame, bank: DataFrame, single_page: bool = Fals
     n = F.count("*") if single_page else F.count_distinct("page")
     pages, ids = F.array_sort(F.collect_set("page")), F.array_sort(F.collect_set("finding_id"))
     recurring = findings.where(F.col("check_id").isin(*rules.RECURRING)).groupBy("site", "check_id").agg(n.alias("n"), pages.alias("pages"), ids.alias("ids")).where(F.col("n") >= (2 if single_page else 3))
-    recurring = recurring.select("site", F.concat(F.lit("recurring:"), "check_id").alias("job_id"), F.lit("recurring").alias("kind"), T.tier(F.col("check_id")).alias("tier"), "pages", "ids")
+    recurring = recurring.select("site", F.concat(F.lit("recurring:"), "check_id").alias("job_id"), F.lit("recurring").alias("kind"), F.col("check_id").alias("subject"), "n", T.tier(F.col("check_id")).alias("tier"), "pages", "ids")
     whole = findings.where(F.col("check_id").isin(*rules.SITE_LEVEL)).groupBy("site", "finding_id", "check_id").agg(pages.alias("pages"), ids.alias("ids"))
-    whole = whole.select("site", F.concat(F.lit("site:"), "finding_id").alias("job_id"), F.lit("site").alias("kind"), T.tier(F.col("check_id")).alias("tier"), "pages", "ids")
+    whole = whole.select("site", F.concat(F.lit("site:"), "finding_id").alias("job_id"), F.lit("site").alias("kind"), F.col("check_id").alias("subject"), F.lit(1).cast("long").alias("n"), T.tier(F.col("check_id")).alias("tier"), "pages", "ids")
     asked = findings.where("module = 'question_coverage'").withColumn("question_id", F.split("finding_id", ":")[1]).join(F.broadcast(bank.select("question_id", "area")), "question_id")
     areas = asked.groupBy("site", "area").agg(F.count_distinct("finding_id").alias("n"), pages.alias("pages"), ids.alias("ids"), F.min(T.tier(F.col("check_id"))).alias("tier")).where("n >= 2")
     folded = areas.groupBy("site").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("gone"))
     kept = recurring.unionByName(whole).join(folded, "site", "left").withColumn("ids", F.when(F.col("gone").isNull(), F.col("ids")).otherwise(F.array_except("ids", "gone"))).where(F.size("ids") > 0).drop("gone")
-    jobs = kept.unionByName(areas.select("site", F.concat(F.lit("area:"), "area").alias("job_id"), F.lit("area").alias("kind"), "tier", "pages", "ids"))
+    jobs = kept.unionByName(areas.select("site", F.concat(F.lit("area:"), "area").alias("job_id"), F.lit("area").alias("kind"), F.col("area").alias("subject"), "n", "tier", "pages", "ids"))
     own = Window.partitionBy("site").orderBy("tier", F.desc(F.size("pages")), "job_id")
     return jobs.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= most)
+
+
+def plan_told(jobs: DataFrame, texts: DataFrame, single_page: bool = False) -> DataFrame:
+    """Jobs of a plan (opportunities()) with title and reason, from rules.plan_texts(): n is filled in as it was counted, before
+    questions of one area left the job. A job without a text isn't told."""
+    reason = T.filled(F.col("on_one" if single_page else "on_pages"), F.create_map(F.lit("n"), F.col("n").cast("string")))
+    return jobs.join(texts, ["kind", "subject"]).withColumn("reason", reason).drop("on_one", "on_pages")

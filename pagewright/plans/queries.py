@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fetch_queries, page_queries, report_queries, site_queries, text_queries  # noqa: F401 - they register their queries
+from . import fetch_queries, page_queries, report_queries, request_queries, site_queries, text_queries  # noqa: F401 - they register their queries
 from .registry import QUERIES, SQL, Query
 
 
