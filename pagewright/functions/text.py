@@ -157,7 +157,7 @@ def needed_confidence(kind: Column, options: Column, bar: float = 0.6) -> Column
 
 def answer_confidence(confidence: Column, noul: Column) -> Column:
     """The stated confidence, else for yes/no answers their distance from the middle, else 0."""
-    return F.coalesce(confidence, F.least(F.lit(1.0), F.abs(noul - 0.5) * 2), F.lit(0.0))
+    return F.coalesce(confidence, F.when(noul.isNotNull(), F.least(F.lit(1.0), F.abs(noul - 0.5) * 2)), F.lit(0.0))  # least() passes over nulls
 
 
 def banded(confidence: Column) -> Column:

@@ -69,3 +69,8 @@ def test_rule_tables_are_complete():
     assert set(rules.ADVICE) == set(ids) and set(rules.QUESTION_TEXTS) == {q[0] for q in rules.QUESTIONS} and set(rules.STAGE_TEXTS) == set(rules.STAGES)
     assert len(rules.QUESTIONS) == 15 and len({q[1] for q in rules.QUESTIONS}) == 10
     assert all(c[3] in range(5) and c[2] in ("high", "medium", "low") for c in rules.CHECKS)
+
+
+def test_no_confidence_and_no_yes_or_no_is_none(spark):
+    rows = spark.createDataFrame([(None, None), (None, 0.25), (0.3, None), (None, 0.5)], "c double, n double")
+    assert [r[0] for r in rows.select(T.answer_confidence(F.col("c"), F.col("n"))).collect()] == [0.0, 0.5, 0.3, 0.0]
