@@ -1,4 +1,4 @@
-"""Queries of request bodies, plan texts and section names, each beside the SQL that says the same."""
+"""Queries of request bodies, responses, plan texts and section names, each beside the SQL that says the same."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright import rules
 from pagewright.operators import bodies as B
 from pagewright.operators import report as P
+from pagewright.operators import responses as V
 from pagewright.operators import site as R
 
 from .registry import SQL, query
@@ -119,3 +120,32 @@ def j17_section_names(spark: S, d: str) -> DataFrame:
     sections = turn_sections(spark, d)
     findings = sections.select("page_id", F.col("section_ord").alias("own"), section_of(F.col("page_id") * 100 + F.col("section_ord"), F.col("section_ord")).alias("section_ord"))
     return P.section_names(findings, sections).select("page_id", "own", "section")
+
+
+def responses(spark: S, d: str) -> DataFrame:
+    """Responses about events, two answers each; some are broken or have a wrong value."""
+    k = F.col("event_id")
+    a, b = digit(k, 3), digit(k, 4)
+    noul = F.when(a == 0, "1.5").otherwise((b / 16).cast("string"))
+    kind = F.when(a == 1, "rating").otherwise("choice")
+    sure = F.when(a == 2, ',"confidence":null').when(b < 8, F.concat(F.lit(',"confidence":'), (b / 8).cast("string"))).otherwise("")
+    body = F.concat(
+        F.lit('{"model":'), F.when(a == 5, "7").otherwise('"m"'), F.lit(',"answers":{"q_a":{"type":"noul","noul":'), noul, F.lit('},"q_b":{"type":"'), kind, F.lit('","choice":"yes","probabilities":{"yes":0.5,"no":1}'), sure,
+        F.lit('}},"usage":{"input_tokens":'), F.when(a == 4, -1).otherwise(b).cast("string"), F.when(a == 3, "}").otherwise("}}"),
+    )
+    return table(spark, d, "events").select(k.alias("page_id"), F.lit("page").alias("scope"), F.lit("page").alias("ref_id"), body.alias("body"))
+
+
+RESPONSES = f"""said AS (SELECT event_id, {sql_digit("event_id", 3)} AS a, {sql_digit("event_id", 4)} AS b FROM events)"""
+
+
+@query(f"""WITH {RESPONSES} SELECT event_id AS page_id, CASE WHEN a > 5 THEN 'm' END AS model, CASE WHEN a > 5 THEN b::DOUBLE END AS input_tokens, CASE WHEN a > 5 THEN 0::DOUBLE END AS output_tokens,
+  'malformed response: ' || CASE a WHEN 0 THEN 'answers.q_a.noul' WHEN 1 THEN 'answers.q_b.type' WHEN 2 THEN 'answers.q_b.confidence' WHEN 3 THEN '' WHEN 4 THEN 'usage.input_tokens' WHEN 5 THEN 'model' END AS reason FROM said""")
+def s12_responses(spark: S, d: str) -> DataFrame:
+    return V.validated(responses(spark, d)).select("page_id", "model", "input_tokens", "output_tokens", "reason")
+
+
+@query(f"""WITH {RESPONSES} SELECT event_id AS page_id, 'q_a' AS question_id, 'noul' AS atype, b / 16::DOUBLE AS noul, NULL AS choice, NULL::INT AS n_options, abs(b / 16::DOUBLE - 0.5::DOUBLE) * 2 AS confidence FROM said WHERE a > 5
+UNION ALL SELECT event_id, 'q_b', 'choice', NULL, 'yes', 2, CASE WHEN b < 8 THEN b / 8::DOUBLE ELSE 0 END FROM said WHERE a > 5""")
+def s12_answers(spark: S, d: str) -> DataFrame:
+    return V.answers(V.validated(responses(spark, d))).select("page_id", "question_id", "atype", "noul", "choice", "n_options", "confidence")
