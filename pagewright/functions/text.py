@@ -46,7 +46,8 @@ def words(s: Column) -> Column:
 
 def sentences(s: Column) -> Column:
     """Pieces between white space that follows `.`, `!` or `?`; blank ones are left out."""
-    return F.filter(F.transform(F.split(s, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    pieces = F.transform(F.split(s, r"(?<=[.!?])\s+"), lambda x: F.trim(x))  # trim itself would be handed the place, too, and take it off as characters
+    return F.filter(pieces, lambda x: x != "")
 
 
 def tokens(s: Column) -> Column:

@@ -35,6 +35,10 @@ def test_sentences_words_tokens(of):
     assert of(T.tokens, "Don't re-do Ünits 3x") == [["don't", "re-do", "ünits", "3x"]]
 
 
+def test_sentences_keep_the_digits_of_their_places(of):
+    assert of(T.sentences, "0 a. Costs 1! x2 2? 1.3", " 0 ", " . ") == [["0 a.", "Costs 1!", "x2 2?", "1.3"], ["0"], ["."]]
+
+
 def test_hype_prefers_longer_terms_and_whole_words(of):
     terms = lambda s: F.transform(T.hype_terms(s), lambda x: x["term"])
     assert of(terms, "The best-in-class tool, simply the best.", "bestial nest", "A revolutionary, robust thing", "éleading leading") == [["best-in-class", "simply", "best"], [], ["revolutionary", "robust"], ["leading"]]
