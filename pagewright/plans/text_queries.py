@@ -185,7 +185,7 @@ def haystack():
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 8)[:3], '|') AS focus FROM documents")
 def p41_focus_lines(spark: S, d: str) -> DataFrame:
-    rows = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 8)
+    rows = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
     return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(rows, 1, 3), "|").alias("focus"))
 
 
