@@ -223,9 +223,10 @@ def parsed_body(body: Column, schema: str) -> Column:
 
 
 def page_table(summaries: DataFrame) -> DataFrame:
-    """Pages in the order of a report: most high findings, most findings, then by path; with place."""
+    """Pages in the order of a report: most high findings, most findings, then by path, address and page_id (so that pages with
+    one address have an order, too); with place."""
     path = short_path(F.col("url"))
-    return summaries.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("high"), F.desc("findings"), path, "url")))
+    return summaries.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("high"), F.desc("findings"), path, "url", "page_id")))
 
 
 def coverage_order(rows: DataFrame, stretch: int = 4096) -> DataFrame:

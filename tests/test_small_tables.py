@@ -6,6 +6,8 @@ from collections import Counter
 import duckdb
 import pytest
 
+from pagewright.operators import report
+
 
 @pytest.fixture
 def differences(spark, tmp_path):
@@ -27,3 +29,9 @@ def differences(spark, tmp_path):
 def test_focus_lines_keep_the_digits_of_their_places(differences):
     rows = [(1, "0 lines in it\n  some words 1\n\n3 more words 3 \nfour"), (2, None), (3, "short\n1234567 1\n")]
     assert differences("p41_focus_lines", documents=(rows, "doc_id long, text string")) == ([], [])
+
+
+def test_pages_with_one_address_have_an_order(spark):
+    rows = [(n, "a.example", "https://a.example/x", 1, 2) for n in (7, 3, 9, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, site string, url string, high int, findings int").coalesce(1)
+    assert [(r["page_id"], r["place"]) for r in report.page_table(pages).orderBy("place").collect()] == [(1, 1), (3, 2), (7, 3), (9, 4)]
