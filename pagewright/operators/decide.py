@@ -27,13 +27,23 @@ def fixture_key(state, questions):
     return T.fnv1a(F.concat(state, F.lit("|"), F.array_join(F.array_sort(questions), ",")))
 
 
+def fixture_digest(state, questions):
+    """A digest of the whole question: that of another state or other questions differs, where keys of 32 bits meet by chance."""
+    return F.sha2(F.to_json(F.concat(F.array(state), F.array_sort(questions))).cast("binary"), 256)
+
+
 def replayed(states: DataFrame, recorded: DataFrame) -> DataFrame:
     """Answers recorded under each state's key; questions without one get an answer of confidence 0.
 
-    states: page_id, scope, ref_id, state, questions (array). recorded: key, question_id and an answer's columns.
+    states: page_id, scope, ref_id, state, questions (array). recorded: key, question_id, an answer's columns and, in tables of
+    tens of thousands of states and more, digest (fixture_digest()): with it an answer is that of the very state. Of answers
+    that are recorded repeatedly under one key (and digest) the least counts, so that each question has one row.
     """
-    asked = states.withColumn("key", fixture_key(F.col("state"), F.col("questions"))).select("page_id", "scope", "ref_id", "key", F.explode("questions").alias("question_id"))
-    return asked.join(recorded, ["key", "question_id"], "left").select("page_id", "scope", "ref_id", "question_id", F.coalesce("atype", F.lit("noul")).alias("atype"), "noul", "choice", "score", "n_options", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    by = [("key", fixture_key), ("digest", fixture_digest)][: 2 if "digest" in recorded.columns else 1]
+    on = [*[n for n, _ in by], "question_id"]
+    asked = states.withColumns({n: f(F.col("state"), F.col("questions")) for n, f in by}).select("page_id", "scope", "ref_id", *on[:-1], F.explode("questions").alias("question_id"))
+    told = recorded.groupBy(*on).agg(F.min(F.struct("atype", "noul", "choice", "score", "n_options", "confidence")).alias("a")).select(*on, "a.*")
+    return asked.join(told, on, "left").select("page_id", "scope", "ref_id", "question_id", F.coalesce("atype", F.lit("noul")).alias("atype"), "noul", "choice", "score", "n_options", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
 
 
 class Unavailable(Exception):

@@ -76,7 +76,7 @@ def s10_j16_replay(spark: S, d: str) -> DataFrame:
     """Answers are recorded for every third state."""
     c = table(spark, d, "conversations")
     states = c.select(F.col("conv_id").alias("page_id"), F.lit("section").alias("scope"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("ref_id"), F.to_json(F.struct("conv_id", "turn", "text")).alias("state"), F.array(F.lit("b"), F.lit("a")).alias("questions"), (F.col("conv_id") + F.col("turn")).alias("k"))
-    recorded = states.where("k % 3 = 0").select(D.fixture_key(F.col("state"), F.col("questions")).alias("key"), F.explode("questions").alias("question_id"), F.lit("noul").alias("atype"), F.lit(0.95).alias("noul"), F.lit(None).cast("string").alias("choice"), F.lit(None).cast("double").alias("score"), F.lit(2).alias("n_options"), F.lit(0.9).alias("confidence"))
+    recorded = states.where("k % 3 = 0").select(D.fixture_key(F.col("state"), F.col("questions")).alias("key"), D.fixture_digest(F.col("state"), F.col("questions")).alias("digest"), F.explode("questions").alias("question_id"), F.lit("noul").alias("atype"), F.lit(0.95).alias("noul"), F.lit(None).cast("string").alias("choice"), F.lit(None).cast("double").alias("score"), F.lit(2).alias("n_options"), F.lit(0.9).alias("confidence"))
     return D.replayed(states, recorded).select("page_id", "ref_id", "question_id", "confidence")
 
 

@@ -35,3 +35,8 @@ def test_pages_with_one_address_have_an_order(spark):
     rows = [(n, "a.example", "https://a.example/x", 1, 2) for n in (7, 3, 9, 1)]
     pages = spark.createDataFrame(rows, "page_id long, site string, url string, high int, findings int").coalesce(1)
     assert [(r["page_id"], r["place"]) for r in report.page_table(pages).orderBy("place").collect()] == [(1, 1), (3, 2), (7, 3), (9, 4)]
+
+
+def test_replay_tells_states_of_one_key_apart(differences):
+    rows = [(59351, 0, "eefa42"), (356472, 0, "1cc772"), (515643, 0, "de374f"), (153613, 0, "523c4c"), (3, 0, "said twice"), (3, 0, "said twice")]  # the first two have one key, as have the next two
+    assert differences("s10_j16_replay", conversations=(rows, "conv_id long, turn long, text string")) == ([], [])
