@@ -135,12 +135,15 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """kind (index or urlset), ord and url of each entry of the sitemaps in body; other columns stay."""
+    """kind (index or urlset), ord and url of each entry of the sitemaps in body; other columns stay.
+
+    The kind goes with the entries: as a column beside them it would be looked for in the whole body for each of them."""
     xml = F.col("body")
     kind = F.when(xml.rlike(r"(?i)<sitemapindex[\s>]"), "index").otherwise("urlset")
     locs = F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
+    entries = let(F.struct(kind.alias("kind"), locs.alias("locs")), lambda x: F.transform(x["locs"], lambda loc, at: F.struct(x["kind"].alias("kind"), at.alias("ord"), loc.alias("loc"))))
     decoded = F.col("loc")
     for entity, c in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         decoded = F.replace(decoded, F.lit(entity), F.lit(c))
     rest = [c for c in sitemaps.columns if c != "body"]
-    return sitemaps.select(*rest, kind.alias("kind"), F.posexplode(locs).alias("ord", "loc")).select(*rest, "kind", "ord", F.trim(decoded).alias("url")).where("url != ''")
+    return sitemaps.select(*rest, F.inline(entries)).select(*rest, "kind", "ord", F.trim(decoded).alias("url")).where("url != ''")

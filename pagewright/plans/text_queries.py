@@ -262,8 +262,14 @@ def s03_s04_robots(spark: S, d: str) -> DataFrame:
 
 
 @query(f"SELECT {HOST} AS host, 'urlset' AS kind, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS ord, url FROM pages")
-def s05_s06_sitemaps(spark: S, d: str) -> DataFrame:
-    one = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    rows = table(spark, d, "pages").groupBy(host(F.col("url")).alias("host")).agg(F.array_sort(F.collect_list(F.struct("page_id", one.alias("x")))).alias("xs"))
-    maps = rows.select("host", F.concat(F.lit("<urlset>"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("</urlset>")).alias("body"))
-    return I.sitemap_urls(maps)
+def s05_s06_sitemaps(spark: S, d: str, stretch: int = 4096) -> DataFrame:
+    """A host's sitemap, as texts of at most a stretch of ids each, so that no text or task grows with a host; its entries are
+    numbered over all of them."""
+    escaped = F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    one = F.concat(F.lit("<url><loc> "), escaped, F.lit(" </loc></url>"))
+    part = [host(F.col("url")).alias("host"), F.floor(F.col("page_id") / stretch).alias("part")]
+    rows = table(spark, d, "pages").groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("page_id", one.alias("x")))).alias("xs"))
+    maps = rows.select("host", "part", F.concat(F.lit("<urlset>"), F.array_join(F.transform("xs", lambda x: x["x"]), "\n"), F.lit("</urlset>")).alias("body"))
+    sizes = table(spark, d, "pages").groupBy(*part).agg(F.count("url").alias("n"))
+    before = sizes.select("host", "part", (F.sum("n").over(Window.partitionBy("host").orderBy("part")) - F.col("n")).alias("before"))
+    return I.sitemap_urls(maps).join(before, ["host", "part"]).select("host", "kind", (F.col("before") + F.col("ord")).cast("int").alias("ord"), "url")

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from pagewright.operators import report
+from pagewright.operators import intake, report
 
 
 @pytest.fixture
@@ -40,3 +40,17 @@ def test_pages_with_one_address_have_an_order(spark):
 def test_replay_tells_states_of_one_key_apart(differences):
     rows = [(59351, 0, "eefa42"), (356472, 0, "1cc772"), (515643, 0, "de374f"), (153613, 0, "523c4c"), (3, 0, "said twice"), (3, 0, "said twice")]  # the first two have one key, as have the next two
     assert differences("s10_j16_replay", conversations=(rows, "conv_id long, turn long, text string")) == ([], [])
+
+
+def test_sitemaps_in_parts_have_one_numbering(differences):
+    ids = [9000, 4095, 4096, 0, 8191, 8192, 20000]
+    rows = [(k, f"https://{h}.example/p/{k}?a=1&b=<{k}>") for k in ids for h in ("a", "b") if h == "a" or k > 4095]
+    assert differences("s05_s06_sitemaps", pages=(rows, "page_id long, url string")) == ([], [])
+
+
+def test_the_kind_of_a_sitemap_is_looked_for_once(spark):
+    maps = spark.createDataFrame([(1, "<sitemapindex><loc>a</loc><loc>b</loc>"), (2, "<loc>c</loc>"), (3, "none"), (4, None)], "k int, body string")
+    found = intake.sitemap_urls(maps)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "index", 0, "a"), (1, "index", 1, "b"), (2, "urlset", 0, "c")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sitemapindex" not in plan[: plan.index("Generate")]  # above the explosion it would be once an entry
