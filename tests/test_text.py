@@ -49,6 +49,16 @@ def test_claims_and_evidence(of):
     assert of(T.evidence_kinds, "up 40% since 2019", "$5 and a study", "no", "GDPR audited") == [["figure", "timeframe"], ["figure", "source"], [], ["named"]]
 
 
+def test_whole_words_are_tried_at_their_first_letters_only(of):
+    patterns = [p for _, p, _ in rules.CLAIMS] + [rules.TOPIC_WORDS, rules.OPENERS, rules.VAGUE, rules.REVIEWER, rules.COMPANY, r"x?y|[ab|c]d|(e|f)g|\(h|", "#1|no 1"]
+    texts = ["Faster", "xfaster", "faster_", "a#1 b", "#1", "a #1", "é" + "easy", "SOC2 soc  2", "no", "no 1", "I've", "xy y", "a|d |d", "eg", "x(h", "results", "set up inn", "always on.", "in minutes", "ſpeed", "", None]
+    for p in patterns:
+        plain = f"(?i){T.EDGE}(?:{p}){T.EDGE}"
+        assert of(lambda s: s.rlike(T.whole_words(p)), *texts) == of(lambda s: s.rlike(plain), *texts), p
+    assert not any(T.whole_words(p).startswith(f"(?i){T.EDGE}") for p, *_ in [x[1:] for x in rules.CLAIMS])
+    assert of(T.claim_kind, "Robust and faster", "We are a#1", "none", "", None) == ["performance", "leadership", None, None, None]
+
+
 def test_hash_fill_redaction(of):
     assert of(T.fnv1a, "abc", "") == ["1a47e90b", "811c9dc5"]
     assert of(lambda s: T.filled(s, F.create_map(F.lit("n"), F.lit("3"))), "{n} of {m}, {n}") == ["3 of {m}, 3"]
