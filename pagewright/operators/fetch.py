@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import let
+from pagewright.sources.held import held
 
 from . import intake as I
 
@@ -90,6 +91,7 @@ def chains(heads: DataFrame, most: int = REDIRECTS) -> DataFrame:
     moves = moves.withColumn("to", key(absolute(F.col("location"), F.col("key"))))
     error = F.when(F.coalesce(F.trim("location"), F.lit("")) == "", "fetch_failed:no_location").when(F.col("to").isNull(), "fetch_failed:bad_location")
     moves = moves.select("key", F.when(error.isNull(), F.col("to")).alias("target"), error.alias("error")).withColumn("forbidden", blocked(F.col("target")))
+    moves = held(moves)  # read by each hop
     step = moves.select(F.col("key").alias("at"), F.col("target").alias("next"), F.col("error").alias("fault"), F.col("forbidden").alias("no"))
     live = moves.select("key", F.col("target").alias("last"), F.when(F.col("target").isNotNull(), F.array("target")).otherwise(F.array().cast("array<string>")).alias("chain"), F.coalesce("error", F.col("forbidden") if most else F.lit("fetch_failed:too_many_redirects")).alias("error"))
     for hop in range(1, most + 1):
@@ -114,7 +116,7 @@ def outcomes(requests: DataFrame, responses: DataFrame, robots: DataFrame | None
     requests that can't be parsed. Only its first ROBOTS_CHARS characters are read. What a robots file says of the requested
     address counts after the fetch itself. Null and empty urls are invalid; repeated requests have a row each.
     """
-    heads = _heads(responses)
+    heads = held(_heads(responses))  # addresses are dear to spell, and each hop reads them
     asked = requests.select("request_id", "url", key(F.col("url")).alias("key"))
     asked = asked.withColumn("refused", F.when(F.col("key").isNull(), "invalid_url:unparsable").otherwise(blocked(F.col("key"))))
     led = asked.join(chains(heads, most).select("key", F.col("last").alias("led"), F.col("chain").alias("more"), "error"), "key", "left")

@@ -114,3 +114,10 @@ def test_sitemaps_are_found_as_listed(spark):
     assert [r["url"] for r in FE.discovered(sites.limit(1), df, limit=25).orderBy("nth").collect()][-2:] == ["https://www.a.example/w?a=1&b=2", f"{b}/q"]
     assert [(r["url"], r["via_robots"], r["error_code"]) for r in got["https://c.example/z"]] == [("https://c.example/é", False, None)]
     assert all([r["error_code"] for r in got[u]] == ["fetch_failed"] for u in ("https://d.example/", "http://localhost/"))
+
+
+def test_hops_do_not_spell_addresses_again(spark):
+    heads = FE._heads(spark.createDataFrame([("https://a.example/1", 302, "/2", None, None), ("https://a.example/2", 302, "3", None, None)], "url string, status int, location string, content_type string, content_length long"))
+    led = FE.chains(heads)
+    assert {r["key"]: r["chain"] for r in led.collect()} == {"https://a.example/1": ["https://a.example/2", "https://a.example/3"], "https://a.example/2": ["https://a.example/3"]}
+    assert "regexp_extract" not in led._jdf.queryExecution().optimizedPlan().toString()
