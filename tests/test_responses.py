@@ -29,3 +29,9 @@ def test_right_and_wrong_responses(spark):
     assert (said[2, "q"]["confidence"], said[2, "q"]["n_options"], said[2, "r"]["confidence"], said[2, "r"]["n_options"], said[3, "q"]["confidence"]) == (0.5, None, 1.0, 3, 0.0)
     assert {(r["page_id"], r["question_id"]) for r in decide.confident(responses.answers(checked)).collect()} == {(2, "r")}
     assert responses.validated(df.limit(0)).collect() == []
+
+
+def test_each_body_is_parsed_once(spark):
+    checked = responses.validated(spark.createDataFrame([(1, "page", "page", "{}")], "page_id long, scope string, ref_id string, body string"))
+    for df in (checked, responses.answers(checked)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
