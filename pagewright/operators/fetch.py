@@ -58,17 +58,23 @@ def key(url: Column) -> Column:
         usual = (x["port"] == "") | ((x["scheme"] == "https") & (x["port"] == "443")) | ((x["scheme"] == "http") & (x["port"] == "80"))
         port = F.when(usual, "").otherwise(F.concat(F.lit(":"), x["port"]))
         user = F.when(x["user"] != "", F.concat(x["user"], F.lit("@"))).otherwise("")
-        bad = (x["host"] == "") | x["host"].rlike(r"[\s<>^|%\\]|^\[.*[^0-9a-f:.\]].*\]$") | (F.coalesce(x["port"].try_cast("long"), F.lit(0)) > 65535)
+        bad = (x["host"] == "") | x["host"].rlike(r"[\s<>^|%\\]|^\[.*[^0-9a-f:.\]].*\]$") | (F.coalesce(F.when(x["port"] != "", x["port"].try_cast("long")), F.lit(0)) > 65535)
         path, query = F.regexp_extract(x["rest"], r"^[^?]*", 0), F.regexp_extract(x["rest"], r"^[^?]*(.*)$", 1)
         return F.when(x["t"] == "", None).when(~web, x["t"]).when(~bad, F.concat(x["scheme"], F.lit("://"), user, x["host"], port, without_dots(path), query))
 
     return let(F.trim(url), lambda t: let(F.struct(t.alias("t"), *[c.alias(n) for n, c in I.parts(t).items()]), spelled))
 
 
+def _spelled(rows: DataFrame, name: str, *rest: Column | str) -> DataFrame:
+    """The key of each row's url and the rest of its columns; rows without a key are left out. A filter on the key, as joins have
+    it too, would be pushed below and spell each address once more, so the key comes of an explode."""
+    return rows.select(F.explode(F.filter(F.array(key(F.col("url"))), lambda k: k.isNotNull())).alias(name), *rest)
+
+
 def _heads(responses: DataFrame) -> DataFrame:
     """key and head (status, location, content_type, content_length), a row an address; bodies aren't read."""
-    rows = responses.select(key(F.col("url")).alias("key"), F.struct(F.col("status").isNull().alias("none"), "status", "location", "content_type", "content_length").alias("head"))
-    return rows.where("key IS NOT NULL").groupBy("key").agg(F.min("head").alias("head"))
+    rows = _spelled(responses, "key", F.struct(F.col("status").isNull().alias("none"), "status", "location", "content_type", "content_length").alias("head"))
+    return rows.groupBy("key").agg(F.min("head").alias("head"))
 
 
 def host_of(address: Column) -> Column:
@@ -134,8 +140,8 @@ def outcomes(requests: DataFrame, responses: DataFrame, robots: DataFrame | None
         ended = ended.withColumns({"allowed": F.lit(True), "reason": F.lit(None).cast("string")})
     ended = ended.withColumn("error", F.coalesce("error", F.when(~F.col("allowed"), F.concat(F.lit("robots_disallowed:"), F.col("reason")))))
 
-    bodies = responses.where("status BETWEEN 200 AND 299").select(key(F.col("url")).alias("final_url"), F.struct("status", "location", "content_type", "content_length").alias("of"), "body")
-    bodies = bodies.where("final_url IS NOT NULL").groupBy("final_url").agg(F.min_by("body", "of").alias("body"))
+    bodies = _spelled(responses.where("status BETWEEN 200 AND 299"), "final_url", F.struct("status", "location", "content_type", "content_length").alias("of"), "body")
+    bodies = bodies.groupBy("final_url").agg(F.min_by("body", "of").alias("body"))
     whole = ended.join(bodies, "final_url", "left")
     good, size = F.col("error").isNull(), F.octet_length("body")
     code, reason = F.split_part("error", F.lit(":"), F.lit(1)), F.regexp_extract("error", "^[a-z_]+:(.*)$", 1)
@@ -161,7 +167,8 @@ def discovered(sites: DataFrame, texts: DataFrame, limit: int = 25) -> DataFrame
     after the other would wait for each answer; a sitemap's entries are bounded by its size, so that windows by candidate
     are, too.
     """
-    read = texts.where("status BETWEEN 200 AND 299").select(key(F.col("url")).alias("key"), "content_length", "body").where("key IS NOT NULL AND body IS NOT NULL AND body != ''")
+    read = texts.where("status BETWEEN 200 AND 299").where("body IS NOT NULL AND body != ''")
+    read = _spelled(read, "key", "content_length", "body")
     read = read.groupBy("key").agg(F.min(F.struct("content_length", "body")).alias("x")).select("key", F.col("x.content_length").alias("declared"), "x.body")
     own = sites.select("site_url").distinct().withColumn("site", key(F.col("site_url")))
     own = own.withColumn("host", F.regexp_replace(host_of(F.col("site")), r"^www\.", ""))

@@ -38,7 +38,7 @@ def ipv4(host: Column) -> Column:
         valid = (n <= 4) & F.forall(nums, lambda x: x.isNotNull()) & F.forall(heads, lambda x: x < 256) & (last < room)
         return F.when(F.coalesce(valid, F.lit(False)), F.aggregate(heads, F.lit(0).cast("long"), lambda a, x: a * 256 + x) * room + last)
 
-    return let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number), whole)
+    return F.when(host.rlike("^[0-9]"), let(F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number), whole))  # names aren't taken apart
 
 
 def is_private(number: Column) -> Column:

@@ -121,3 +121,11 @@ def test_hops_do_not_spell_addresses_again(spark):
     led = FE.chains(heads)
     assert {r["key"]: r["chain"] for r in led.collect()} == {"https://a.example/1": ["https://a.example/2", "https://a.example/3"], "https://a.example/2": ["https://a.example/3"]}
     assert "regexp_extract" not in led._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_addresses_are_spelled_once(spark):
+    rows = spark.createDataFrame([(u, 200, None, None, None, "x") for u in ("https://e.com/a", " ", None)], RESPONSES)
+    heads = FE._heads(rows)
+    joined = spark.createDataFrame([("https://e.com/a",)], "key string").join(heads, "key", "left")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("<= 65535") == 1  # a port's bound, once a spelling
+    assert [r["key"] for r in heads.collect()] == ["https://e.com/a"]
