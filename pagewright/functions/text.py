@@ -27,8 +27,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def bounded(pattern: str) -> str:
-    r"""A case-insensitive pattern in which \b is an ASCII word boundary."""
-    return "(?i)" + pattern.replace(r"\b", EDGE)
+    r"""A case-insensitive pattern in which \b is an ASCII word boundary; before a digit, one that is looked for at digits only."""
+    return "(?i)" + re.sub(r"\\b(?=\\d(?![?*{]))", lambda _: r"(?=\d)(?<![A-Za-z0-9_])", pattern).replace(r"\b", EDGE)
 
 
 def alternatives_of(pattern: str) -> list[str]:
@@ -64,7 +64,7 @@ def whole_words(alternatives: str) -> str:
 
 def collapse(s: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, r"\s{2,}|[^\S ]", " "))  # single spaces stay as they are
 
 
 def words(s: Column) -> Column:
@@ -148,7 +148,12 @@ def claim_subject(kind: Column, claims=rules.CLAIMS) -> Column:
 
 def evidence_kinds(s: Column, evidence=rules.EVIDENCE) -> Column:
     """All kinds of evidence in the text, in their order."""
-    return F.filter(F.array(*[F.when(s.rlike(bounded(p)), k) for k, p in evidence]), lambda k: k.isNotNull())
+
+    def pattern(p: str) -> str:
+        words = re.fullmatch(r"\\b\((?!\?)((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*)\)\\b", p)  # a group between two boundaries
+        return whole_words(words[1]) if words else bounded(p)
+
+    return F.filter(F.array(*[F.when(s.rlike(pattern(p)), k) for k, p in evidence]), lambda k: k.isNotNull())
 
 
 def hype_density(s: Column, terms: list[tuple[str, str]] | None = None) -> Column:

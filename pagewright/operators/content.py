@@ -164,7 +164,7 @@ def claims(passages: DataFrame, lexicon: list[tuple[str, str]] | None = None, fa
     some = F.when(F.size("evidence") > 0, at)
     near = {"own": some, "n1": F.lead(some, 1).over(own), "p1": F.lag(some, 1).over(own), "n2": F.lead(some, 2).over(own), "p2": F.lag(some, 2).over(own)}
     rows = passages.withColumns({"claim": T.claim_kind(F.col("text"), families), "evidence": found}).withColumns(near)
-    rows = rows.where((F.size(F.split("text", r"\s+")) >= least) & F.col("claim").isNotNull()).withColumn("terms", F.transform(T.hype_terms(F.col("text"), lexicon, 4), lambda x: x["term"])).where(F.size("terms") > 0)
+    rows = rows.where(F.col("claim").isNotNull() & (F.size(F.split("text", r"\s+")) >= least)).withColumn("terms", F.transform(T.hype_terms(F.col("text"), lexicon, 4), lambda x: x["term"])).where(F.size("terms") > 0)
     best = F.coalesce("own", "n1", "p1", "n2", "p2")
     distance = F.when(F.col("own").isNotNull(), 0).when(F.coalesce("n1", "p1").isNotNull(), 1).when(F.coalesce("n2", "p2").isNotNull(), 2).otherwise(-1)
     return rows.select("page_id", "section_ord", "passage_ord", "text", "claim", "terms", F.coalesce(best["e"], F.array().cast("array<string>")).alias("evidence"), F.when(distance > 0, best["at"]).alias("support"), distance.alias("distance"))

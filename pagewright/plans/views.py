@@ -16,9 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents as passages of one section each: page_id, passage_ord, section_ord, kind, text, lang."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang", F.posexplode(F.split("text", "\n")).alias("passage_ord", "raw"))
-    return d.select("page_id", "passage_ord", F.lit(0).alias("section_ord"), F.lit("paragraph").alias("kind"), T.collapse(F.col("raw")).alias("text"), "lang", F.lit(False).alias("boilerplate")).where(F.length("text") >= 2)
+    """Lines of documents as passages of one section each: page_id, passage_ord, section_ord, kind, text, lang. White space is
+    collapsed before the explode: after it, the filter on lengths and the column would each do so."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "lang", F.posexplode(F.transform(F.split("text", "\n"), T.collapse)).alias("passage_ord", "text"))
+    return d.select("page_id", "passage_ord", F.lit(0).alias("section_ord"), F.lit("paragraph").alias("kind"), "text", "lang", F.lit(False).alias("boilerplate")).where(F.length("text") >= 2)
 
 
 LINES = r"""

@@ -1,6 +1,10 @@
+import random
+import re
+
 import pytest
 from pagewright import rules
 from pagewright.functions import text as T
+from pagewright.plans import views
 from pyspark.sql import functions as F
 
 
@@ -88,3 +92,19 @@ def test_rule_tables_are_complete():
 def test_no_confidence_and_no_yes_or_no_is_none(spark):
     rows = spark.createDataFrame([(None, None), (None, 0.25), (0.3, None), (None, 0.5)], "c double, n double")
     assert [r[0] for r in rows.select(T.answer_confidence(F.col("c"), F.col("n"))).collect()] == [0.0, 0.5, 0.3, 0.0]
+
+
+def test_evidence_and_white_space_as_plain_patterns(spark):
+    rng = random.Random(5)
+    parts = ["12", "4%", "$9", " ", "  ", "\t", "\u00a0", "\n\n", "x", "_", "-", ".", "é", "soc2", "SOC 2", "cited", "source:", "is", "in 2019", "Q3 2020", "iso27001", "docs", "9 days"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(7))) for _ in range(600)]
+    kinds = (*rules.EVIDENCE, ("digit", r"\b\d"), ("maybe", r"x\b\d?-"), ("verb", r"\b(is|was|est)\b"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.evidence_kinds(F.col("t"), kinds).alias("e"), T.collapse(F.col("t")).alias("c"))
+    for r in df.collect():
+        assert r["e"] == [k for k, p in kinds if re.search(p, r["t"], re.ASCII | re.IGNORECASE)], r["t"]
+        assert r["c"] == re.sub(r"\s+", " ", r["t"], flags=re.ASCII).strip(" ")
+
+
+def test_white_space_of_lines_is_collapsed_once(spark, sf):
+    plan = views.lines(spark, sf).select("page_id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert sum(line.count("regexp_replace(") for line in plan.splitlines() if "FileScan" not in line) == 1
